@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = SLICE_B
         if column.nbytes <= most:
             yield batch
             continue
-        lengths = pa.compute.binary_length(column).fill_null(0).to_pylist()
+        lengths = pc.binary_length(column).fill_null(0).to_pylist()
         start, held = 0, 0
         for i, size in enumerate(lengths):
             if held and held + size > most:
