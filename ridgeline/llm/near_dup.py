@@ -90,7 +90,7 @@ def _block(sets: list[np.ndarray], slots: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     dealt = None
     for step in range(slots):
-        draw = mix(element + np.uint64(step + 1) * np.uint64(0x9E3779B97F4A7C15))
+        draw = mix(element + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         # Step `step` of a shuffle: swap this place with one at or after it.
         pick = step + ((draw & np.uint64(0xFFFFFFFF)) * np.uint64(slots - step) >> np.uint64(32)).astype(np.int64)
         if dealt is None:

@@ -279,7 +279,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     for r in parts.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
     length, first, copies, sequence, offset = layout(plan(counts)[0])
-    key = length << 44 | first
+    key, names = length << 44 | first, parts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,9 +288,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
             at = np.searchsorted(key, n << 44 | number, side="right") - 1
             into = number - first[at]
             columns = [b.column(i) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence[at] + into // copies[at]), pa.array(offset[at] + into % copies[at] * n)], [*parts.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence[at] + into // copies[at]), pa.array(offset[at] + into % copies[at] * n)], [*names, "sequence_id", "offset"])
 
-    source = numbered(parts, counts, id_col).select(*parts.columns, "number")
+    source = numbered(parts, counts, id_col).select(*names, "number")
     return source.mapInArrow(run, T.StructType([*parts.schema.fields, *struct(("sequence_id", T.LongType()), ("offset", T.LongType())).fields]))
 
 

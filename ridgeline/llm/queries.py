@@ -6,8 +6,16 @@ import importlib
 
 #: Query name to the module that holds its `query(spark, sf_dir)`.
 MODULES = {
+    "op1_scoring": "scoring",
     "op2_bpe": "bpe",
+    "op3_pii": "pii",
+    "op4_packing": "packing",
     "op5_token_counts": "token_counts",
+    "op6_neighbours": "neighbours",
+    "op7_html": "html_extract",
+    "op8_quality": "quality",
+    "op9_language": "language_id",
+    "op10_near_dup": "near_dup",
 }
 
 
