@@ -147,8 +147,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     return train(x, np.array([labels.index(r["label"]) for r in kept]), labels)
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", least_gap: float = 0.1) -> DataFrame:
-    """The rows' id with lang_pred, score (the winner's share, 0 to 1) and ambiguous: the winner's score
+def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", least_gap: float = 0.1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows' id and the columns `keep` with lang_pred, score (the winner's share, 0 to 1) and ambiguous: the winner's score
     is less than `least_gap` above the runner-up's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +163,11 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                     for i, k in zip(some, best.tolist(), strict=True):
                         lang[i] = model.labels[k]
                     score[some], doubt[some] = top, top - second < least_gap
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(doubt)], [id_col, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([s.column(0), *(s.column(i + 2) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score), pa.array(doubt)], [id_col, *keep, "lang_pred", "score", "ambiguous"])
 
-    source = df.select(F.col(id_col), F.col(text_col).cast("string"))
+    source = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), *keep)
     rest = struct(("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()))
-    return source.mapInArrow(run, T.StructType([source.schema[0], *rest.fields]))
+    return source.mapInArrow(run, T.StructType([source.schema[0], *(source.schema[k] for k in keep), *rest.fields]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
