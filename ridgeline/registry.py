@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from ridgeline.plans import queries as core
+
 
 def queries() -> dict:
-    return {}
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.SQL)
