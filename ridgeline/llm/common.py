@@ -97,6 +97,21 @@ class Recent(dict):
         self[key] = value
 
 
+    def learn(self, keys: set, make_all) -> None:
+        """Puts all the keys in, those unknown with make_all's values; all are there until the next call."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        old, missing = self.old, []
+        for k in [k for k in keys if k not in self]:
+            if (value := old.get(k)) is None:
+                missing.append(k)
+            else:
+                self[k] = value
+        if missing:
+            self.update(zip(missing, make_all(missing), strict=True))
+
+
 def held_out(doc_id: F.Column, parts: int, part: int) -> F.Column:
     """Whether crc32 of the id as text leaves `part` when divided by `parts`."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts) == F.lit(part), F.lit(False))

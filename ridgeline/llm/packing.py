@@ -52,38 +52,25 @@ class IdBytes:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        young = self.chunks
-        known, missing = {}, []
-        for c in {c for s in split for c in s if c not in young}:
-            if (ids := young.old.get(c)) is None:
-                missing.append(c)
-            else:
-                known[c] = ids
-        if missing:
-            known.update(zip(missing, self._chunks(missing), strict=True))
-        if not known:
-            return [b"".join([young[c] for c in s]) for s in split]
-        get = dict.get
-        out = [b"".join([ids if (ids := get(young, c)) is not None else known[c] for c in s]) for s in split]
-        for c, ids in known.items():
-            young.put(c, ids)
-        return out
+        chunks = self.chunks
+        chunks.learn(set().union(*split), self._chunks)
+        return [b"".join([chunks[c] for c in s]) for s in split]
 
     def _chunks(self, chunks: list[bytes]) -> list[bytes]:
         pieces = [self.vocabulary.pieces(c) for c in chunks]
-        words, get = self.words, dict.get
-        known, missing = {}, []
-        for w in {p for ps in pieces for p in ps if type(p) is bytes and p not in words}:
-            if (ids := words.old.get(w)) is None:
-                missing.append(w)
-            else:
-                known[w] = ids
-        if missing:
-            found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(missing, found, strict=True))
-        out = [b"".join([p.to_bytes(4, "little") if type(p) is int else ids if (ids := get(words, p)) is not None else known[p] for p in ps]) for ps in pieces]
-        for w, ids in known.items():
-            words.put(w, ids)
+        words = self.words
+        words.learn({p for ps in pieces for p in ps if type(p) is bytes}, self._words)
+        return [words[ps[0]] if len(ps) == 1 and type(ps[0]) is bytes else b"".join([p.to_bytes(4, "little") if type(p) is int else words[p] for p in ps]) for ps in pieces]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        flat, n = [], [len(e) for e in found]
+        for e in found:
+            flat += e.ids
+        raw, out, at = np.array(flat, dtype="<u4").tobytes(), [], 0
+        for k in n:
+            out.append(raw[at : at + 4 * k])
+            at += 4 * k
         return out
 
 

@@ -19,6 +19,8 @@ import regex
 WORD_BPE = "word_bpe_49k.json"
 #: White space as the file's own patterns see it (Unicode's property White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: ASCII characters that are neither space, letters nor digits, and begin no piece with what is before.
+MARKS = frozenset(bytes([b]) for b in b"!#$%&()*+,-./:;<=>?@[]^_`{|}~\\\"")
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
@@ -59,12 +61,20 @@ class Vocabulary:
 
     def pieces(self, chunk: bytes) -> list[bytes | int]:
         """A chunk's pre-tokens, as bytes, and its special tokens, as ids, in order."""
+        # Most chunks are one word, or a word with a mark after it; others go through the pattern.
+        if chunk.isalpha():
+            return [chunk.lower()]
         if chunk.isascii():
+            if chunk[:-1].isalpha() and chunk[-1:] in MARKS:
+                return [chunk[:-1].lower(), chunk[-1:]]
             text = chunk.decode("ascii")
-            if b"<|" not in chunk:
+            if "<|" not in text:
                 return [p.encode() for p in PIECES.findall(text.lower())]
         else:
             text = chunk.decode("utf-8", "surrogatepass")
+            word = unicodedata.normalize("NFC", text).lower()
+            if word.isalpha() and "Σ" not in text:
+                return [word.encode()]
         out: list[bytes | int] = []
         at = 0
         for m in self.splits.finditer(text) if self.splits else ():
