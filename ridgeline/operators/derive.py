@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo
-
-W = Window.partitionBy("track_id").orderBy("seq")
-SO_FAR = W.rowsBetween(Window.unboundedPreceding, 0)
+from ridgeline.operators.windows import in_order, so_far
 
 
 def segments(df: DataFrame) -> DataFrame:
     """With `segment`, metres from the point before (0 at a track's start)."""
-    lag = lambda c: F.lag(c).over(W)
+    lag = lambda c: F.lag(c).over(in_order())
     step = geo.haversine(lag("latitude"), lag("longitude"), F.col("latitude"), F.col("longitude"))
     return df.withColumn("segment", F.coalesce(step, F.lit(0.0)))
 
@@ -21,9 +19,9 @@ def segments(df: DataFrame) -> DataFrame:
 def derive(df: DataFrame) -> DataFrame:
     """Replaces distance, elapsed, bearing, dx, grade, dt and speed. Each is taken over the neighbours on
     both sides; at an end only the one there is, halved like the others."""
-    d = segments(df).withColumn("distance", F.sum("segment").over(SO_FAR)).withColumn("elapsed", (F.col("time") - F.first("time").over(SO_FAR)) / 1000)
-    before = lambda c: F.coalesce(F.lag(c).over(W), F.col(c))
-    after = lambda c: F.coalesce(F.lead(c).over(W), F.col(c))
+    d = segments(df).withColumn("distance", F.sum("segment").over(so_far())).withColumn("elapsed", (F.col("time") - F.first("time").over(so_far())) / 1000)
+    before = lambda c: F.coalesce(F.lag(c).over(in_order()), F.col(c))
+    after = lambda c: F.coalesce(F.lead(c).over(in_order()), F.col(c))
     names = ("distance", "elevation", "time", "latitude", "longitude")
     d = d.select("*", *[before(c).alias(f"_b_{c}") for c in names], *[after(c).alias(f"_a_{c}") for c in names], F.count("*").over(Window.partitionBy("track_id")).alias("_n"))
     alone = F.col("_n") <= 1
@@ -60,7 +58,7 @@ def report_elevation(stats: DataFrame) -> DataFrame:
 
 def track_stats(df: DataFrame) -> DataFrame:
     """One row a track: points, distance, raw gain and loss, heights, duration and bounds."""
-    rise = F.col("elevation") - F.lag("elevation").over(W)
+    rise = F.col("elevation") - F.lag("elevation").over(in_order())
     d = segments(df).withColumn("_rise", rise)
     ends = lambda f, c: f(c, "seq")
     return d.groupBy("track_id").agg(

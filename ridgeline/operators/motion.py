@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo, kernels, physics
+from ridgeline.operators.windows import in_order
 from ridgeline.operators.tracks import map_tracks
 from ridgeline.options import G, Bike, Cyclist, PowerSpec, Wind
 
-W = Window.partitionBy("track_id").orderBy("seq")
-
 
 def forces(df: DataFrame, cyclist: Cyclist = Cyclist(), bike: Bike = Bike(), wind: Wind = Wind(), rho: str = "default") -> DataFrame:
     """Fills the aerodynamic coefficient, the four resisting powers and, if the wind blows, its columns."""
@@ -30,9 +29,9 @@ def inverse_power(df: DataFrame, cyclist: Cyclist = Cyclist(), bike: Bike = Bike
     """The power that a recorded ride took, from its change of kinetic energy and the forces one point before."""
     m = physics.equivalent_mass(cyclist, bike)
     d = df if "pAero" in df.columns else forces(df, cyclist, bike)
-    drag = F.lag(F.col("pAero") + F.col("pGravity") + F.col("pRollingResistance") + F.col("pWheelBearings")).over(W)
-    idle = F.lag("seq").over(W).isNull() | ~(F.col("dt") > 0)
-    total = physics.kinetic_power(m, F.lag("speed").over(W), F.col("speed"), F.when(F.col("dt") > 0, F.col("dt")))
+    drag = F.lag(F.col("pAero") + F.col("pGravity") + F.col("pRollingResistance") + F.col("pWheelBearings")).over(in_order())
+    idle = F.lag("seq").over(in_order()).isNull() | ~(F.col("dt") > 0)
+    total = physics.kinetic_power(m, F.lag("speed").over(in_order()), F.col("speed"), F.when(F.col("dt") > 0, F.col("dt")))
     z = lambda x: F.when(idle, 0.0).otherwise(x)
     d = d.withColumn("pComputedTotalPower", z(total)).withColumn("pComputedWheelPower", z(total - drag))
     wheel = F.col("pComputedWheelPower")
@@ -41,10 +40,10 @@ def inverse_power(df: DataFrame, cyclist: Cyclist = Cyclist(), bike: Bike = Bike
 
 def windowed_radius(df: DataFrame, k: int = 10) -> DataFrame:
     """radius of the turn within k points each way, 5 to 200 m; a measured curvature has precedence."""
-    turn = geo.normalize_angle(F.col("bearing") - F.lag("bearing").over(W))
-    span = W.rowsBetween(-k + 1, k)
+    turn = geo.normalize_angle(F.col("bearing") - F.lag("bearing").over(in_order()))
+    span = in_order().rowsBetween(-k + 1, k)
     change = F.abs(F.coalesce(F.sum("_turn").over(span), F.lit(0.0)))
-    way = F.last("distance").over(W.rowsBetween(0, k)) - F.first("distance").over(W.rowsBetween(-k, 0))
+    way = F.last("distance").over(in_order().rowsBetween(0, k)) - F.first("distance").over(in_order().rowsBetween(-k, 0))
     window = F.when(change < 0.001, 200.0).otherwise(geo.clamp(way / F.when(change > 0, change), 5, 200))
     # The change into the window's first point belongs to the window before it.
     d = df.withColumn("_turn", F.coalesce(turn, F.lit(0.0)))

@@ -7,19 +7,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo, kernels
+from ridgeline.operators.windows import in_order
 from ridgeline.operators.derive import derive
 from ridgeline.operators.tracks import map_tracks, renumbered
 from ridgeline.schema import CIRCULAR
 
-W = Window.partitionBy("track_id").orderBy("seq")
-
 
 def _numbers(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if c not in ("track_id", "seq") and t == "double"]
 
 
 def _with_next(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select("*", *[F.lead(c).over(W).alias(f"_n_{c}") for c in names], F.lead("seq").over(W).alias("_n_seq"))
+    return df.select("*", *[F.lead(c).over(in_order()).alias(f"_n_{c}") for c in names], F.lead("seq").over(in_order()).alias("_n_seq"))
 
 
 def _mix(names: list[str], share) -> list:
@@ -30,7 +29,7 @@ def one_hz(df: DataFrame, rederive: bool = True) -> DataFrame:
     """A point at every whole second of each track. Of two pieces that meet in a second the later one's
     point stays."""
     names = _numbers(df)
-    d = _with_next(df, names).withColumn("_first", F.lag("seq").over(W).isNull())
+    d = _with_next(df, names).withColumn("_first", F.lag("seq").over(in_order()).isNull())
     e1 = F.floor(F.col("time") / 1000).cast("long")
     e2 = F.floor(F.col("_n_time") / 1000).cast("long")
     aligned = F.col("time") == e1 * 1000.0
@@ -77,7 +76,7 @@ def stations(df: DataFrame, step: float, columns: tuple[str, ...] = ("latitude",
     last point strictly before it. Each piece makes its own stations, so no join is needed."""
     d = df.select("track_id", "seq", "distance", *[c for c in columns if c != "distance"])
     names = ["distance", *[c for c in columns if c != "distance"]]
-    d = _with_next(d, names).withColumn("_first", F.lag("seq").over(W).isNull())
+    d = _with_next(d, names).withColumn("_first", F.lag("seq").over(in_order()).isNull())
     a, b = F.col("distance"), F.col("_n_distance")
     lo = F.when(F.col("_first"), F.lit(0).cast("long")).otherwise(F.floor(a / step).cast("long") + 1)
     hi = F.floor(b / step).cast("long")
@@ -117,7 +116,7 @@ def nearest(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def decimate(df: DataFrame, stride: int) -> DataFrame:
     """Every stride-th point and the last."""
-    last = F.lead("seq").over(W).isNull()
+    last = F.lead("seq").over(in_order()).isNull()
     return df.withColumn("_last", last).where((F.col("seq") % stride == 0) | F.col("_last")).drop("_last")
 
 
@@ -129,7 +128,7 @@ def densified_bound(stats: DataFrame) -> DataFrame:
 def fill_linear(df: DataFrame, column: str, x: str = "seq") -> DataFrame:
     """NaN or null between known values is replaced along a line over x; ends take the nearest known value."""
     known = F.when(F.col(column).isNotNull() & ~F.isnan(column), F.struct(F.col(x).cast("double").alias("x"), F.col(column).alias("v")))
-    d = df.withColumn("_a", F.last(known, True).over(W.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(known, True).over(W.rowsBetween(0, Window.unboundedFollowing)))
+    d = df.withColumn("_a", F.last(known, True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(known, True).over(in_order().rowsBetween(0, Window.unboundedFollowing)))
     gap = F.col("_b.x") - F.col("_a.x")
     line = F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull() | (gap == 0), F.col("_a.v")).otherwise(F.col("_a.v") + (F.col(x) - F.col("_a.x")) / F.when(gap != 0, gap) * (F.col("_b.v") - F.col("_a.v")))
     return d.withColumn(column, line).drop("_a", "_b")
