@@ -72,9 +72,10 @@ def headings(df: DataFrame) -> DataFrame:
 
 
 def heading_regression(df: DataFrame, half: float) -> DataFrame:
-    """slope of heading over distance within `half` metres each way, by the windowed regression aggregate."""
-    df.createOrReplaceTempView("_headings")
-    return df.sparkSession.sql(f"SELECT *, regr_slope(heading, distance) OVER (PARTITION BY track_id ORDER BY distance RANGE BETWEEN {float(half)}D PRECEDING AND {float(half)}D FOLLOWING) AS kappa FROM _headings")
+    """kappa: slope of heading over distance within `half` metres each way, by the windowed regression
+    aggregate (its frame needs SQL text, which takes fractions)."""
+    made = F.expr(f"regr_slope(heading, distance) OVER (PARTITION BY track_id ORDER BY distance RANGE BETWEEN {float(half)}D PRECEDING AND {float(half)}D FOLLOWING)")
+    return df.withColumn("kappa", made)
 
 
 def curvature(df: DataFrame, options: CurvatureOptions = CurvatureOptions()) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from ridgeline.plans import more_queries
 from ridgeline.plans import queries as core
 
 
 def queries() -> dict:
+    assert more_queries
     return dict(core.QUERIES)
 
 

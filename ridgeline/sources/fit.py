@@ -85,14 +85,14 @@ def snap(distance: np.ndarray, wanted: list[dict]) -> list[dict]:
 def encode(name: str, segments: list[dict], start_ms: int, sport: str = "cycling", course_points: list[dict] = (), gap_s: float = 1.0) -> bytes:
     """A course of one or more segments (arrays lat, lon in degrees, ele, time in ms, distance, power, hr, cad,
     speed, temp; gain and loss). Time must not go back; later segments continue time and distance."""
+    if any((np.diff(s["time"]) < 0).any() for s in segments):
+        raise ValueError("time must not go back along a segment")
     w = Writer()
     w.add(FILE_ID, (0, ENUM, 6), (1, UINT16, 255), (2, UINT16, 0), (3, UINT32Z, 1), (4, UINT32, timestamp(start_ms)))
     w.add(COURSE, (4, ENUM, SPORT[sport]), (5, STRING, name.encode()[:31]))
     clock, way = float(start_ms), 0.0
     plans = []
     for s in segments:
-        if (np.diff(s["time"]) < 0).any():
-            raise ValueError("time must not go back along a segment")
         t, d = clock + (s["time"] - s["time"][0]), way + (s["distance"] - s["distance"][0])
         plans.append((s, t, d))
         clock, way = float(t[-1]) + gap_s * 1000, float(d[-1])

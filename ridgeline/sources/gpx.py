@@ -163,7 +163,7 @@ def _frame(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
 def files(spark: SparkSession, path: str) -> DataFrame:
     """file, xml of every GPX file under a folder (or of one file)."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[gG][pP][xX]").load(path)
-    return b.select(F.col("path").alias("file"), F.decode("content", F.lit("UTF-8")).alias("xml"))
+    return b.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("xml"))
 
 
 def _rows(df: DataFrame, schema_text: str, make) -> DataFrame:
