@@ -319,6 +319,9 @@ def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[int]]]:
                     node("pre", 1, phrase(3, 12))
                 elif r < 0.91:
                     node("div", 1, lambda: node("p", 1, sentences(2)))
+                elif r < 0.94:
+                    tag = rng.choice(["form", "form", "aside", "nav", "footer"])
+                    node(tag, 0, links() if tag == "nav" else sentences(rng.randint(1, 2)) if rng.random() < 0.5 else f'{phrase(1, 3)} <input name="q"> <b>{phrase(1, 2)}</b>')
                 else:
                     chrome("ad", "ads", "advert", "advertisement", "sponsor", "promo", "share", "social", "newsletter", "subscribe", "related", "banner")
 

@@ -5,8 +5,8 @@ pieces of each length (a histogram of at most `capacity` entries, whatever the c
 that the program needs. A configuration says how many pieces of which length share a sequence; the
 program asks for the least number of configurations that cover all pieces. Multiplicative weights
 solve it: prices of lengths fall as they get covered, and a knapsack dynamic program over the capacity
-prices configurations. Multiples are rounded down, what is left is solved again while it is large, and
-the last few pieces are packed best fit by best fit. `lower_bound` is the program's own dual bound.
+prices configurations. Multiples are rounded down to whole sequences, and what that leaves is packed best
+fit, length by length. Prices also give a lower bound on the number of sequences.
 
 Pieces of a length are numbered within salted groups whose sizes add up to offsets, so a length that a
 third of all pieces share is dealt out over many tasks; the number then gives sequence and offset.
@@ -33,8 +33,10 @@ from ridgeline.llm.common import Recent, materialize, slices, struct, table
 
 CHUNKS, WORDS = 350_000, 200_000
 CAPACITY = 2048
-#: Rounds of pricing, configurations taken in each, and pieces that are left to plain best fit.
-ROUNDS, PER_ROUND, LEFT = 48, 64, 20_000
+#: Rounds of pricing, and configurations taken in each.
+ROUNDS, PER_ROUND = 240, 64
+#: How fast prices fall with coverage, how far coverage goes, and how near the best a configuration must be.
+STEEP, COVER, NEAR = 1.0, 24.0, 0.99
 
 
 class IdBytes:
@@ -131,105 +133,91 @@ def filled(capacity: int, taken: np.ndarray) -> dict[int, int]:
 
 
 def solve(counts: np.ndarray) -> tuple[dict[tuple, float], float]:
-    """Fractional multiples of configurations, and a lower bound on the number of sequences."""
+    """Fractional multiples of configurations, and a lower bound on the number of sequences.
+
+    A length's price starts at its size and falls with its coverage. Each round prices configurations by
+    the knapsack program and takes those within `NEAR` of the best: the best itself, and the best ones that
+    hold each of the least covered lengths. Coverage is driven to `COVER` times the counts and scaled back."""
     capacity = len(counts) - 1
     present = np.flatnonzero(counts)
+    if not len(present):
+        return {}, 0.0
     size = np.arange(capacity + 1) / capacity
     covered, multiples, bound = np.zeros(capacity + 1), {}, float(np.ceil((counts * size).sum()))
+    price = size
     for _ in range(ROUNDS):
-        price = np.where(counts > 0, size * np.exp(-3 * covered), 0)
-        if not price.any():
-            break
+        price = np.where(counts > 0, size * np.exp(-STEEP * (covered - covered[present].min())), 0)
         best, taken = knapsack(price)
         bound = max(bound, float((counts * price).sum() / best[capacity]))
-        # The best configuration that holds each of the dearest lengths still to be covered.
-        for length in present[np.argsort(-(price / np.maximum(size, 1e-9))[present], kind="stable")][:PER_ROUND].tolist():
+        before = covered.copy()
+        dearest = present[np.argsort(covered[present], kind="stable")][:PER_ROUND].tolist()
+        for length in (0, *dearest):
+            if price[length] + best[capacity - length] < NEAR * best[capacity]:
+                continue
             one = filled(capacity - length, taken)
-            one[length] = one.get(length, 0) + 1
+            if length:
+                one[length] = one.get(length, 0) + 1
             if any(counts[k] < a for k, a in one.items()):
-                one = {length: 1} if counts[length] else {}
-                room = capacity - length
-                for k in sorted(present.tolist(), reverse=True):
-                    a = min(room // k, int(counts[k]) - one.get(k, 0))
-                    if a > 0:
-                        one[k], room = one.get(k, 0) + a, room - a * k
+                one = _fill(counts, length, present) if length else {}
+            if not one or max(covered[k] - before[k] for k in one) > 0.5:
+                continue
             step = 0.25 * min(counts[k] / a for k, a in one.items())
             key = tuple(sorted(one.items(), reverse=True))
             multiples[key] = multiples.get(key, 0) + step
             for k, a in one.items():
                 covered[k] += a * step / counts[k]
-        if covered[present].min() >= 1:
+        if covered[present].min() >= COVER:
             break
-    return multiples, bound
-
-
-def best_fit(lengths: list[int], capacity: int) -> list[tuple]:
-    """Configurations of single sequences: longest first, each into the fullest sequence with room."""
-    bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms = 0  # bit r: some sequence has room for exactly r
-    for length in sorted(lengths, reverse=True):
-        above = rooms >> length
-        if above:
-            room = length + (above & -above).bit_length() - 1
-            b = by_room[room].pop()
-            if not by_room[room]:
-                rooms &= ~(1 << room)
-        else:
-            room, b = capacity, len(bins)
-            bins.append([])
-        bins[b].append(length)
-        by_room[room - length].append(b)
-        if room > length:
-            rooms |= 1 << (room - length)
-    return [tuple((k, b.count(k)) for k in sorted(set(b), reverse=True)) for b in bins]
+    share = float((counts * covered).sum() / counts.sum())
+    return {k: x / max(share, 1e-9) for k, x in multiples.items()}, bound
 
 
-def plan(counts: np.ndarray) -> tuple[list[tuple[tuple, int]], float]:
-    """Configurations with whole multiples that hold exactly `counts` pieces of each length, and the
-    lower bound on the number of sequences."""
-    left, chosen, bound = counts.astype(np.int64).copy(), [], 0.0
-    capacity = len(counts) - 1
-    if left[capacity]:
-        chosen.append((((capacity, 1),), int(left[capacity])))
-        bound, left[capacity] = float(left[capacity]), 0
-    first = True
-    while left.sum() > LEFT or first:
-        multiples, least = solve(left)
-        if first:
-            bound, first = bound + least, False
-        before = left.sum()
-        # Fullest configurations first.
-        for key, x in sorted(multiples.items(), key=lambda m: (-sum(k * a for k, a in m[0]), m[0])):
-            m = min(int(x), *(int(left[k]) // a for k, a in key))
-            if m > 0:
-                chosen.append((key, m))
-                for k, a in key:
-                    left[k] -= a * m
-        if left.sum() > 0.9 * before:
-            break
-    rest = best_fit(np.repeat(np.arange(capacity + 1), left).tolist(), capacity) if left.sum() <= 50 * LEFT else _by_runs(left)
-    same: dict[tuple, int] = {}
-    for key in rest if isinstance(rest, list) else ():
-        same[key] = same.get(key, 0) + 1
-    return chosen + sorted((same if isinstance(rest, list) else rest).items()), bound
+def _fill(counts: np.ndarray, length: int, present: np.ndarray) -> dict[int, int]:
+    """A configuration around one piece of a length, filled from the longest down within the counts."""
+    one, room = {length: 1}, len(counts) - 1 - length
+    for k in present[::-1].tolist():
+        a = min(room // k, int(counts[k]) - one.get(k, 0))
+        if a > 0:
+            one[k], room = one.get(k, 0) + a, room - a * k
+    return one
 
 
-def _by_runs(left: np.ndarray) -> dict[tuple, int]:
-    """Greedy filling by whole runs of equal sequences, for rests too large to go through one by one."""
-    left, out, capacity = left.copy(), {}, len(left) - 1
+def best_fit(counts: np.ndarray) -> dict[tuple, int]:
+    """Configurations with whole multiples for the counts: each sequence is filled with the longest pieces
+    that still fit, and equal sequences are made together, so that there are no more steps than lengths."""
+    left, out, capacity = counts.copy(), {}, len(counts) - 1
     while left.any():
         room, one = capacity, {}
         for k in np.flatnonzero(left)[::-1].tolist():
             if a := min(room // k, int(left[k])):
                 one[k], room = a, room - a * k
         m = min(int(left[k]) // a for k, a in one.items())
-        out[key] = out.get(key := tuple(one.items()), 0) + m if (key := tuple(one.items())) in out else m
+        key = tuple(one.items())
+        out[key] = out.get(key, 0) + m
         for k, a in one.items():
             left[k] -= a * m
     return out
 
 
+def plan(counts: np.ndarray) -> tuple[list[tuple[tuple, int]], float]:
+    """Configurations with whole multiples that hold exactly `counts` pieces of each length, and the
+    lower bound on the number of sequences."""
+    left, chosen, bound = counts.astype(np.int64).copy(), [], 0.0
+    capacity = len(counts) - 1
+    if left[capacity]:
+        chosen.append((((capacity, 1),), int(left[capacity])))
+        bound, left[capacity] = float(left[capacity]), 0
+    multiples, least = solve(left)
+    # Those taken most often first: they are what the prices settled on.
+    for key, x in sorted(multiples.items(), key=lambda m: (-m[1], m[0])):
+        m = min(int(x), *(int(left[k]) // a for k, a in key))
+        if m > 0:
+            chosen.append((key, m))
+            for k, a in key:
+                left[k] -= a * m
+    return chosen + sorted(best_fit(left).items()), bound + least
+
+
 def layout(chosen: list[tuple[tuple, int]]) -> tuple[np.ndarray, ...]:
     """Sorted by length and first number: length, first number, copies in a sequence, first sequence,
     offset of the first copy."""

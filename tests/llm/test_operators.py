@@ -244,8 +244,10 @@ def test_plans_cover_exactly(seed):
             packed[n] += a * m
     assert (packed == counts).all()
     used, least = sum(m for _, m in chosen), int((counts * np.arange(201)).sum() / 200)
-    assert least <= used and bound <= used + 1e-6 and used <= 1.03 * max(bound, least) + 3
-    assert len(packing.best_fit([3, 3, 4, 6, 2], 10)) == 2
+    plain = sum(packing.best_fit(counts).values())
+    assert least <= used and bound <= used + 1e-6 and used <= 1.002 * plain
+    few = np.bincount([3, 3, 4, 6, 2, 10], minlength=11)
+    assert sum(m for _, m in packing.plan(few)[0]) == 3 and packing.plan(few * 0)[0] == []
 
 
 # 6 ---------------------------------------------------------------------------------------------
