@@ -33,8 +33,8 @@ from ridgeline.llm.common import Recent, materialize, slices, struct, table
 
 CHUNKS, WORDS = 350_000, 200_000
 CAPACITY = 2048
-#: Rounds of pricing, and configurations taken in each.
-ROUNDS, PER_ROUND = 240, 64
+#: Rounds of pricing times the capacity, and configurations taken in each.
+WORK, PER_ROUND = 500_000, 64
 #: How fast prices fall with coverage, how far coverage goes, and how near the best a configuration must be.
 STEEP, COVER, NEAR = 1.0, 24.0, 0.99
 
@@ -145,7 +145,7 @@ def solve(counts: np.ndarray) -> tuple[dict[tuple, float], float]:
     size = np.arange(capacity + 1) / capacity
     covered, multiples, bound = np.zeros(capacity + 1), {}, float(np.ceil((counts * size).sum()))
     price = size
-    for _ in range(ROUNDS):
+    for _ in range(max(60, WORK // capacity)):
         price = np.where(counts > 0, size * np.exp(-STEEP * (covered - covered[present].min())), 0)
         best, taken = knapsack(price)
         bound = max(bound, float((counts * price).sum() / best[capacity]))
