@@ -1,35 +1,50 @@
-"""Running a NumPy kernel on every track: one grouped call a track, so one shuffle on `track_id`, which
-later windows and grouped calls on the same key reuse. Only the columns that a kernel reads are sent."""
+"""Running a NumPy kernel on every track: one grouped Arrow call a track.
+
+Tracks are dealt out by `track_id` to as many partitions as the session shuffles into. That number is given
+explicitly, because the work is in the kernels, not in the bytes by which adaptive execution would merge
+partitions; the grouped call needs no further shuffle. Only the columns that a kernel reads are sent.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ridgeline.schema import FIELDS, POINTS, default, points
 
 KEY = [T.StructField("track_id", T.StringType())]
 
 
-def _arrays(pdf: pd.DataFrame, names: list[str]) -> dict[str, np.ndarray]:
-    pdf = pdf.sort_values("seq", kind="stable")
-    return {n: pdf[n].to_numpy(dtype=float, na_value=np.nan) for n in names}
+def by_track(df: DataFrame):
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "track_id").groupBy("track_id")
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    return table.take(pc.sort_indices(table, sort_keys=[("seq", "ascending")]))
+
+
+def _arrays(table: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
+    return {n: pc.fill_null(table.column(n).cast(pa.float64()), np.nan).to_numpy().copy() for n in names}
 
 
 def map_tracks(df: DataFrame, kernel: Callable) -> DataFrame:
     """Point table to point table: kernel(track) -> track. Points are numbered anew from 0."""
+    schema = to_arrow_schema(POINTS)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = kernel(_arrays(pdf, FIELDS))
+    def run(table: pa.Table) -> pa.Table:
+        t = kernel(_arrays(_ordered(table), FIELDS))
         n = len(t["latitude"])
-        return pd.DataFrame({"track_id": [pdf["track_id"].iloc[0]] * n, "seq": np.arange(n), **{f: t[f] for f in FIELDS}})
+        return pa.table([pa.array([table.column("track_id")[0].as_py()] * n, pa.string()), pa.array(np.arange(n)), *(pa.array(t[f], pa.float64()) for f in FIELDS)], schema=schema)
 
-    return points(df).groupBy("track_id").applyInPandas(run, POINTS)
+    return by_track(points(df)).applyInArrow(run, POINTS)
 
 
 def add_columns(df: DataFrame, reads: list[str], writes: list[str], kernel: Callable) -> DataFrame:
@@ -38,32 +53,32 @@ def add_columns(df: DataFrame, reads: list[str], writes: list[str], kernel: Call
     rest = [c for c in df.columns if c not in writes]
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(w, T.DoubleType()) for w in writes])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        made = kernel({n: pdf[n].to_numpy(dtype=float, na_value=np.nan) for n in reads})
-        return pdf[rest].assign(**{w: made[w] for w in writes})
+    def run(table: pa.Table) -> pa.Table:
+        table = _ordered(table)
+        made = kernel(_arrays(table, reads))
+        return pa.table([table.column(c) for c in rest] + [pa.array(made[w], pa.float64()) for w in writes], names=[*rest, *writes])
 
-    return df.groupBy("track_id").applyInPandas(run, schema)
+    return by_track(df).applyInArrow(run, schema)
 
 
 def summarize(df: DataFrame, reads: list[str], fields: str, kernel: Callable) -> DataFrame:
     """track_id with the rows (dictionaries) that kernel(arrays of `reads`) returns."""
     schema = T.StructType([*KEY, *T._parse_datatype_string(fields).fields])
-    names = [f.name for f in schema.fields[1:]]
+    arrow, names = to_arrow_schema(schema), [f.name for f in schema.fields[1:]]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = kernel(_arrays(pdf, reads))
+    def run(table: pa.Table) -> pa.Table:
+        rows = kernel(_arrays(_ordered(table), reads))
         rows = rows if isinstance(rows, list) else [rows]
-        return pd.DataFrame([{"track_id": pdf["track_id"].iloc[0], **{n: r[n] for n in names}} for r in rows], columns=["track_id", *names])
+        key = table.column("track_id")[0].as_py()
+        return pa.Table.from_pylist([{"track_id": key, **{n: r[n] for n in names}} for r in rows], schema=arrow)
 
     have = set(df.columns)
     picked = df.select(F.col("track_id").cast("string"), "seq", *[(F.col(c).cast("double") if c in have else F.lit(default(c))).alias(c) for c in reads])
-    return picked.groupBy("track_id").applyInPandas(run, schema)
+    return by_track(picked).applyInArrow(run, schema)
 
 
 def renumbered(df: DataFrame) -> DataFrame:
     """seq from 0 without gaps, in the same order."""
-    from pyspark.sql import Window
-
-    return df.withColumn("seq", F.row_number().over(Window.partitionBy("track_id").orderBy("seq")).cast("long") - 1)
+    from ridgeline.operators.windows import in_order
 
+    return df.withColumn("seq", F.row_number().over(in_order()).cast("long") - 1)
