@@ -35,3 +35,12 @@ def test_run_matches_the_stages(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_queries_with_sql(spark):
+    from tests.compare import connect, differences
+
+    con = connect(SF)
+    assert set(queries.oracle_sql()) <= set(queries.queries())
+    for name, sql in queries.oracle_sql().items():
+        assert not differences(queries.queries()[name](spark, SF), con, sql), name
