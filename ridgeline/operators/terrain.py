@@ -126,6 +126,34 @@ def provenance(df: DataFrame) -> DataFrame:
     return df.withColumn("_km", share / 1000).groupBy("track_id").pivot("origin", ["IGN_LIDAR_HD", "MAPTERHORN_MEASURED", "MAPTERHORN", "OTHER", "NONE"]).agg(F.coalesce(F.sum("_km"), F.lit(0.0)))
 
 
+def along(points: DataFrame, step: float = 10.0, least: float = 1.0) -> DataFrame:
+    """track_id, seq, lat_deg, lon_deg: points every `step` metres along polylines (track_id, seq, lat_deg,
+    lon_deg), a new anchor after at least `least` metres."""
+
+    def run(t):
+        rows = kernels.along(t["lat_deg"], t["lon_deg"], step, least)
+        return [{"seq": i, "lat_deg": float(a), "lon_deg": float(b)} for i, (a, b) in enumerate(rows)]
+
+    return summarize(points.select("track_id", "seq", "lat_deg", "lon_deg"), ["lat_deg", "lon_deg"], "seq long, lat_deg double, lon_deg double", run)
+
+
+def profile(points: DataFrame, heights: DataFrame, sources: dict[str, int] = SOURCES, step: float = 10.0, least: float = 1.0, smooth_m: float | None = None, simplify_m: float | None = None, size: int = 256, z: float = 3.0) -> DataFrame:
+    """track_id, seq, lat_deg, lon_deg, elevation along polylines, if asked for smoothed and simplified."""
+    found = elevations(d := along(points, step, least), heights, sources, size)
+    d = d.join(found.drop("origin"), ["track_id", "seq"])
+    if smooth_m is None and simplify_m is None:
+        return d
+
+    def run(t):
+        lat, lon, h = np.radians(t["lat_deg"]), np.radians(t["lon_deg"]), t["elevation"]
+        s = np.concatenate([[0.0], np.cumsum(kernels.haversine(lat[:-1], lon[:-1], lat[1:], lon[1:]))])
+        h = kernels.smooth_profile(s, h, smooth_m) if smooth_m else h
+        keep = kernels.farthest_points(kernels.ecef(lat, lon, h, z), simplify_m) if simplify_m else range(len(h))
+        return [{"seq": int(i), "lat_deg": float(t["lat_deg"][i]), "lon_deg": float(t["lon_deg"][i]), "elevation": float(h[i])} for i in keep]
+
+    return summarize(d, ["lat_deg", "lon_deg", "elevation"], "seq long, lat_deg double, lon_deg double, elevation double", run)
+
+
 DECK = "first int, last int, start double, end double, length double, canyon double, drop double, slope_p95 double, status string"
 TUNNEL = "first int, last int, start double, end double, length double, chord_grade double, height double, rise double, fall double, straightness double"
 
@@ -136,6 +164,17 @@ def bridge_decks(stations: DataFrame, options: DeckOptions = DeckOptions()) -> D
     return summarize(stations, ["mnt", "mns", "mnh"], DECK, lambda t: sequence.decks(t["mnt"], t["mns"], t["mnh"], options))
 
 
+def deck_profile(stations: DataFrame, options: DeckOptions = DeckOptions()) -> DataFrame:
+    """Stations with `deck`: the ground's heights, with accepted decks drawn between their abutments."""
+    from ridgeline.operators.tracks import add_columns
+
+    def run(t):
+        _, smooth, _ = sequence.surface(t["mnt"], t["mns"], t["mnh"], options)
+        return {"deck": sequence.deck_profile(t["mnt"], sequence.decks(t["mnt"], t["mns"], t["mnh"], options), smooth, options)}
+
+    return add_columns(stations, ["mnt", "mns", "mnh"], ["deck"], run)
+
+
 def tunnels(stations: DataFrame, options: TunnelOptions = TunnelOptions()) -> DataFrame:
     """Tunnels of every track's stations (track_id, seq, elevation, latitude, longitude at equal steps)."""
     return summarize(stations, ["elevation", "latitude", "longitude"], TUNNEL, lambda t: sequence.tunnels(t["elevation"], t["latitude"], t["longitude"], options))

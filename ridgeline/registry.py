@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ridgeline.plans import more_queries
-from ridgeline.plans import queries as core
+from ridgeline.plans import more_queries, queries as core
+
+#: Both modules add to the same tables when they are imported.
+MODULES = (core, more_queries)
 
 
 def queries() -> dict:
-    assert more_queries
     return dict(core.QUERIES)
 
 

@@ -9,7 +9,7 @@ from decimal import Decimal
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.schema import UNITS
@@ -56,7 +56,7 @@ def power(source: str = "COMPUTED_OR_INPUT") -> Column:
 def gpx_points(df: DataFrame, start_ms: int | None = None, source: str = "COMPUTED_OR_INPUT") -> DataFrame:
     """Points as GPX has them: degrees, instants (from `start_ms` on, or the points' own), absent values null."""
     t = F.col("time")
-    first = F.min_by("time", "seq").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("track_id"))
+    first = F.min_by("time", "seq").over(Window.partitionBy("track_id"))
     when = F.floor(t - first + 0.5) + start_ms if start_ms is not None else F.when(t > 0, F.floor(t + 0.5))
     known = lambda c: F.when(~F.isnan(c), F.col(c))
     return df.select(

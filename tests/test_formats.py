@@ -113,6 +113,22 @@ def test_terrain(spark):
     assert tuple(n) == (7, 9, 246, 44)
 
 
+def test_profile_and_decks(spark):
+    line = spark.createDataFrame([("a", 0, 45.2, 6.01), ("a", 1, 45.2, 6.012)], "track_id string, seq long, lat_deg double, lon_deg double")
+    d = terrain.along(line, 10.0)
+    gaps = d.count() - 1
+    assert 15 <= gaps <= 17
+    need = terrain.corners_of(d, 12).select("z", "x", "y", "px", "py").distinct()
+    flat = need.select(F.lit("mapterhorn").alias("layer"), "*", F.lit(7.5).alias("h"))
+    p = terrain.profile(line, flat, {"mapterhorn": 12}, smooth_m=50.0, simplify_m=5.0).collect()
+    assert [r.seq for r in p] == [0, gaps] and all(r.elevation == pytest.approx(7.5) for r in p)
+    k = F.col("seq")
+    st = spark.range(120).select(F.lit("a").alias("track_id"), F.col("id").alias("seq")).withColumn("mnt", F.when(k.between(40, 80), 90.0).otherwise(100.0)).withColumn("mns", F.lit(100.0)).withColumn("mnh", F.col("mns") - F.col("mnt"))
+    assert terrain.deck_profile(st).agg(F.min("deck")).first()[0] == pytest.approx(100.0)
+    report = terrain.correction_report(terrain.bridge_decks(st)).first()
+    assert (report.status, report.n) == ("DECK", 1)
+
+
 def test_pipeline(spark, ride):
     out = enhance(ride)
     rows = out.orderBy("seq").collect()
