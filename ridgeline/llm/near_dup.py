@@ -54,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    def __init__(self, known: int = 400_000):
+    def __init__(self, known: int = 200_000):
         self.words = Recent(xxhash.xxh64_intdigest, known)
 
     def __call__(self, text: bytes) -> np.ndarray:
