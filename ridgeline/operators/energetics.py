@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import kernels
-from ridgeline.operators.tracks import add_columns, summarize
+from ridgeline.operators.tracks import add_columns, by_track, summarize
 from ridgeline.options import GAIN_PRESETS, Cyclist, GainOptions
 
 
@@ -20,7 +20,7 @@ def w_prime_balance(df: DataFrame, power: str = "pComputedPower", cyclist: Cycli
     """wPrimeBalance at every point: spent above critical power, won back below it."""
     cp, full = float(cyclist.critical_power_w), float(cyclist.w_prime_j)
     rows = F.array_sort(F.collect_list(F.struct("seq", F.col("time").alias("t"), F.col(power).alias("p"))))
-    tracks = df.groupBy("track_id").agg(rows.alias("rows"))
+    tracks = by_track(df).agg(rows.alias("rows"))
 
     def step(acc, x):
         dt = (x["t"] - acc["t"]) / 1000
@@ -42,7 +42,7 @@ def hysteresis_gain(df: DataFrame, threshold: float, height: str = "elevation")
     """gain, loss and legs of every track between turns of at least the threshold, unsmoothed: a fold of nine
     fields over the ordered heights."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(height).alias("e")))), lambda x: x["e"])
-    tracks = df.groupBy("track_id").agg(rows.alias("h"))
+    tracks = by_track(df).agg(rows.alias("h"))
     names = ("h0", "hi", "lo", "ref", "ext", "gain", "loss")
 
     def state(way, hi_last, legs, **v):

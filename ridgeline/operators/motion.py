@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import geo, kernels, physics
 from ridgeline.operators.windows import in_order
-from ridgeline.operators.tracks import map_tracks
+from ridgeline.operators.tracks import by_track, map_tracks
 from ridgeline.options import G, Bike, Cyclist, PowerSpec, Wind
 
 
@@ -58,7 +58,7 @@ def braking_pass(df: DataFrame, cyclist: Cyclist = Cyclist(), halvings: int = 24
     limit while grip is shared with the turn. Reads radius, speedMaxIncline and distance; the last is 2 m/s."""
     a, hold = cyclist.max_brake_g * G, G * cyclist.tan_lean
     rows = F.reverse(F.array_sort(F.collect_list(F.struct("seq", "distance", "radius", F.col("speedMaxIncline").alias("corner")))))
-    tracks = df.groupBy("track_id").agg(rows.alias("rows"))
+    tracks = by_track(df).agg(rows.alias("rows"))
 
     def step(acc, x):
         way, after, corner, r = acc["at"] - x["distance"], acc["v"], x["corner"], x["radius"]

@@ -22,9 +22,13 @@ from ridgeline.schema import FIELDS, POINTS, default, points
 KEY = [T.StructField("track_id", T.StringType())]
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out by track, whatever their bytes: for folds, whose cost is in their steps."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "track_id")
+
+
 def by_track(df: DataFrame):
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "track_id").groupBy("track_id")
+    return dealt(df).groupBy("track_id")
 
 
 def _ordered(table: pa.Table) -> pa.Table:
