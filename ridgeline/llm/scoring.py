@@ -2,22 +2,22 @@
 
 Text is modelled as its lower-cased words, each followed by a blank, and one closing byte. Every byte
 is coded as eight binary decisions; for each decision there is a tree of contexts, the bytes before it
-in its word (blanks before the word's start), up to `DEPTH` bytes. Each node of a tree has a
-Krichevsky-Trofimov estimate, and nodes of all depths are mixed with the weights that the training
-text earns them: a node's block probability is half its own estimate, half the product of its children.
+in the whole text (blanks before its start), up to `DEPTH` bytes, so contexts run on from word to word.
+Each node of a tree has a Krichevsky-Trofimov estimate, and nodes of all depths are mixed with the
+weights that the training text earns them: a node's block probability is half its own estimate, half
+the product of its children.
 
 All counts come from all training texts:
-* one pass counts distinct words, `(word, times)`; a word's bytes have the same contexts wherever it
-  stands, so that table is all the trees need;
-* words are unrolled to `(context, byte, times)`, summed, and summed again from each depth to the one
-  above; every depth is a table of its own, sorted by context, over which weights are computed in
-  numpy runs. Nothing of it is collected;
+* one pass counts distinct words, `(word, times)`, for the base score;
+* one pass unrolls whole texts to `(context, byte, times)`, sums them in each task and then over all;
+  from each depth they are summed again to the one above; every depth is a table of its own, sorted by
+  context, over which weights are computed in numpy runs. Nothing of it is collected;
 * mixed probabilities flow down from the root by joins on the shorter context;
-* each distinct word is scored once. Where the tree's deepest table has at most `SMALL_TREE` rows
-  workers hold it; beyond that, words' bytes are joined with it. Both give the same.
+* where the tree's deepest table has at most `SMALL_TREE` rows workers hold it and look up every byte of
+  every text; beyond that, the keys of each text are joined with it. Both give the same.
 
-Texts are then scored in one pass: the most frequent words (at most `HEAD`, of bounded length) are
-looked up in a broadcast table, all others are sent, summed by document, to their word's partition.
+Texts' words are looked up in the same pass: the most frequent words (at most `HEAD`, of bounded length)
+in a broadcast table, all others are sent, summed by document, to their word's partition.
 
 A null or empty text has one token, its end. Rows that repeat, id and text, come back as often. A null
 id counts as training. Columns other than id and text are not read. Without training rows every
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,14 @@ from pyspark.sql import types as T
 
 from ridgeline.llm.common import held_out, materialize, slices, struct, table
 
-DEPTH = 5
+DEPTH = 6
 #: Words that are broadcast, and their greatest length; distinct words counted before they are passed on.
 HEAD, HEAD_BYTES, COUNTED = 131_072, 64, 150_000
-#: Rows of the deepest table, 16 bytes each, up to which workers hold it.
-SMALL_TREE = 4_000_000
-#: The closing byte, a word of its own without a blank after it; no word holds it.
+#: Rows of the deepest table, 16 to 20 bytes each, up to which workers hold it.
+SMALL_TREE = 12_000_000
+#: Bytes of text counted and looked up at a time, and rows of sums that a task holds before they are passed on.
+COUNT_BYTES, LOOK_BYTES, SUMMED = 4 << 20, 1 << 20, 4_000_000
+#: The closing byte, without a blank after it; no word holds it.
 END = b"\n"
 LOG10_2 = float(np.log10(2.0))
 BITS = range(8)
@@ -81,32 +84,72 @@ def count_words(docs: DataFrame, parts: int, part: int) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("times").alias("times"), F.sum("seen").alias("seen"))
 
 
-def unroll(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every word (with its blank): context and byte as one number, and the word's place."""
-    coded = [w if w == END else w + b" " for w in words]
+def normal(text: bytes | None) -> bytes:
+    """The text as it is modelled: its words with a blank after each, and the closing byte."""
+    return b" ".join([*(text.lower().split() if text else []), END])
+
+
+def unroll(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of every text (a blank follows where the closing byte does not end it): context and
+    byte as one number; and the number of bytes of each text."""
+    coded = [w if w.endswith(END) else w + b" " for w in texts]
+    sizes = np.array([len(w) for w in coded], dtype=np.int64)
     pad = b" " * DEPTH
-    a = np.frombuffer(b"".join([pad + w for w in coded]), dtype=np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(w) + DEPTH for w in coded])
-    key = np.zeros(len(a) - DEPTH, dtype=np.int64) if len(a) > DEPTH else np.zeros(0, np.int64)
-    for k in range(DEPTH + 1):
-        key = key << 8 | a[k : k + len(key)]
-    # A window that starts in one word's padding or bytes must end in the same word.
-    inside = owner[: len(key)] == owner[DEPTH:]
-    return key[inside], owner[: len(key)][inside]
+    a = np.frombuffer(pad.join([b"", *coded]), dtype=np.uint8)
+    # Two, four and seven bytes, DEPTH and the coded one.
+    two = a[:-1].astype(np.uint16) << 8 | a[1:]
+    four = two[:-2].astype(np.uint32) << 16 | two[2:]
+    key = four[:-3].astype(np.int64) << 24 | four[3:] & 0xFFFFFF
+    # Windows that end in the padding before a text belong to none.
+    between = np.cumsum(sizes[:-1] + DEPTH)[:, None] - 1 - np.arange(DEPTH)
+    return np.delete(key, between.ravel()), sizes
+
+
+def summed(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their times."""
+    if not len(key):
+        return key, times
+    if times.max() <= 1:
+        both = key << 1 | times
+        both.sort()
+        key, times = both >> 1, both & 1
+    else:
+        order = np.argsort(key)
+        key, times = key[order], times[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(times, first)
 
 
-def grams(words: DataFrame) -> DataFrame:
-    """key (context and byte), times: the deepest table, with a row also for what only unseen words need."""
+def grams(texts: DataFrame, code=bytes) -> DataFrame:
+    """key (context and byte), times: the deepest table, with a row also for what only unseen texts need.
+    texts: what is unrolled, after `code`, and how many times it counts. A task passes on few rows a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, owner = unroll(b.column(0).to_pylist())
-            found, at = np.unique(key, return_inverse=True)
-            times = np.zeros(len(found), dtype=np.int64)
-            np.add.at(times, at, b.column(1).to_numpy()[owner])
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], ["key", "times"])
+        held, size, least = [], 0, 0
+
+        def merged():
+            return summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        for b in slices(batches, 0, COUNT_BYTES):
+            key, sizes = unroll([code(x) for x in b.column(0).to_pylist()])
+            held.append(summed(key, np.repeat(b.column(1).to_numpy(), sizes)))
+            size += len(held[-1][0])
+            if size > least + SUMMED:
+                held = [merged()]
+                size = least = len(held[0][0])
+                if least > SUMMED:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["key", "times"])
+                    held, size, least = [], 0, 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["key", "times"])
+
+    return texts.mapInArrow(run, struct(("key", T.LongType()), ("times", T.LongType()))).repartition("key").groupBy("key").agg(F.sum("times").alias("times"))
 
-    return words.select("word", "times").mapInArrow(run, struct(("key", T.LongType()), ("times", T.LongType()))).groupBy("key").agg(F.sum("times").alias("times"))
+
+def text_grams(docs: DataFrame, parts: int, part: int) -> DataFrame:
+    """The deepest table of whole texts: those in training count once, the others not at all."""
+    times = F.when(held_out(F.col("doc_id"), parts, part), 0).otherwise(1).cast("long")
+    return grams(docs.select(F.col("text").cast("string").cast("binary").alias("text"), times.alias("times")), normal)
 
 
 # --- trees -------------------------------------------------------------------------------------
@@ -202,44 +245,86 @@ def tree(deepest: DataFrame) -> DataFrame:
     return materialize(mixed.select("key", score.alias("score")), "tree")
 
 
-def score_words(words: DataFrame, scored: DataFrame, small: int | None = None) -> DataFrame:
-    """word, times, seen, score: log10 of the probability of each word with its blank."""
+#: An odd number; times it, modulo 2 ** 64, is a permutation that spreads keys over the high bits.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(key: np.ndarray) -> np.ndarray:
+    return key.view(np.uint64) * FACTOR
+
+
+class Held:
+    """The deepest table in memory: mixed keys in order, and where each value of their first bits starts."""
+
+    def __init__(self, mixed: np.ndarray, score: np.ndarray):
+        self.mixed, self.score = mixed, score
+        self.shift = np.uint64(64 - max(1, len(mixed).bit_length() - 1))
+        sizes = np.bincount((mixed >> self.shift).view(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.start = (np.cumsum(sizes) - sizes).astype(np.int32)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """The scores of keys, all of which are in the table."""
+        mixed = mix(key)
+        at = self.start[(mixed >> self.shift).view(np.int64)]
+        left = np.flatnonzero(self.mixed[at] != mixed)
+        while len(left):
+            at[left] += 1
+            left = left[self.mixed[at[left]] != mixed[left]]
+        return self.score[at]
+
+
+def held_tree(scored: DataFrame, small: int | None = None) -> Held | None:
+    """The deepest table, where it is small enough for workers to hold it; it comes in sixteen pieces, so
+    that the driver has little besides it."""
     rows = scored.count()
-    if rows <= (SMALL_TREE if small is None else small):
-        got = scored.toArrow()
-        key, score = got.column("key").to_numpy(), got.column("score").to_numpy()
+    if rows > (SMALL_TREE if small is None else small):
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy()).view(np.int64)), b.column(1)], ["mixed", "score"])
+
+    table_ = materialize(scored.select("key", "score").mapInArrow(run, struct(("mixed", T.LongType()), ("score", T.DoubleType()))), "held-tree")
+    mixed, score, n = np.zeros(rows, np.uint64), np.zeros(rows), 0
+    for k in range(16):
+        got = table_.where(F.shiftrightunsigned("mixed", 60) == k).toArrow()
+        key = got.column("mixed").to_numpy().view(np.uint64)
         order = np.argsort(key)
-        held = words.sparkSession.sparkContext.broadcast((key[order], score[order]))
+        mixed[n : n + len(key)], score[n : n + len(key)] = key[order], got.column("score").to_numpy()[order]
+        n += len(key)
+    return Held(mixed, score)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, score = held.value
-            for b in batches:
-                k, owner = unroll(b.column(0).to_pylist())
-                total = np.bincount(owner, weights=score[np.searchsorted(key, k)], minlength=b.num_rows)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total)], ["word", "times", "seen", "score"])
 
-        return words.select("word", "times", "seen").mapInArrow(run, struct(("word", T.BinaryType()), ("times", T.LongType()), ("seen", T.LongType()), ("score", T.DoubleType())))
+def text_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, key, times_here: what each text looks up in the deepest table."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k, owner = unroll(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(k)], ["word", "key"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1, LOOK_BYTES):
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            digest = pa.array([digest_of(x) for x in texts], pa.int64())
+            for i, text in enumerate(texts):
+                key, times = np.unique(unroll([normal(text)])[0], return_counts=True)
+                place = pa.array(np.full(len(key), i))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(place), digest.take(place), pa.array(key), pa.array(times)], ["doc_id", "digest", "key", "times_here"])
 
-    parts = words.select("word").mapInArrow(spread, struct(("word", T.BinaryType()), ("key", T.LongType())))
-    sums = parts.join(scored, "key").groupBy("word").agg(F.sum("score").alias("score"))
-    return words.select("word", "times", "seen").join(sums, "word")
+    source = docs.select(F.col("doc_id"), F.col("text").cast("string"))
+    return source.mapInArrow(run, T.StructType([source.schema[0], *struct(("digest", T.LongType()), ("key", T.LongType()), ("times_here", T.LongType())).fields]))
 
 
 # --- texts -------------------------------------------------------------------------------------
 
 
-def train(docs: DataFrame, parts: int, part: int, small: int | None = None) -> DataFrame:
-    """word, times, seen, score of every distinct word of all texts, learned from the training texts."""
-    words = materialize(count_words(docs, parts, part), "words")
-    return materialize(score_words(words, tree(grams(words)), small), "scored-words")
+def digest_of(text: bytes | None) -> int:
+    return xxhash.xxh64_intdigest(text or b"") - (1 << 63)
 
 
-def head_of(words: DataFrame) -> dict[bytes, tuple[int, float]]:
+def train(docs: DataFrame, parts: int, part: int) -> tuple[DataFrame, DataFrame]:
+    """word, times, seen of every distinct word of all texts; key, score of every context and byte of all
+    texts, learned from the training texts."""
+    return materialize(count_words(docs, parts, part), "words"), tree(text_grams(docs, parts, part))
+
+
+def head_of(words: DataFrame) -> dict[bytes, int]:
     """The most frequent words: as many whole steps of frequency as fit in HEAD."""
     short = words.where(F.length("word") <= HEAD_BYTES)
     step = F.floor(F.log2("seen") * 16)
@@ -251,45 +336,51 @@ def head_of(words: DataFrame) -> dict[bytes, tuple[int, float]]:
         least = r["step"]
     if least is None:
         return {}
-    return {bytes(r["word"]): (r["times"], r["score"]) for r in short.where(step >= least).select("word", "times", "score").collect()}
+    return {bytes(r["word"]): r["times"] for r in short.where(step >= least).select("word", "times").collect()}
 
 
 def score(docs: DataFrame, parts: int = 7, part: int = 2, small: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every text.
     Texts whose id's crc32 leaves `part` when divided by `parts` are held out of training."""
-    words = train(docs, parts, part, small)
+    words, scored = train(docs, parts, part)
     totals = words.agg(F.sum("times").alias("n"), F.count(F.when(F.col("times") > 0, 1)).alias("v")).first()
     n, v = int(totals["n"] or 0), int(totals["v"] or 0)
     unit = float(np.log10(n + v + 1))
-    frequent = docs.sparkSession.sparkContext.broadcast(head_of(words))
+    spark = docs.sparkSession
+    frequent = spark.sparkContext.broadcast(head_of(words))
+    tree_ = held_tree(scored, small)
+    whole = tree_ is not None
+    held = spark.sparkContext.broadcast(tree_)
+    del tree_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = frequent.value
         at = {w: i for i, w in enumerate(table_)}
-        times = np.array([x[0] for x in table_.values()], dtype=float)
-        base, own, known = np.log10(times + 1), np.array([x[1] for x in table_.values()], dtype=float), (times > 0).astype(np.int64)
-        for b in slices(batches):
-            ids, digests, rows, word, count = b.column(0), [], [], [], []
-            sums = []
-            for i, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
-                tokens = text.lower().split() if text else []
-                size = sum(map(len, tokens)) + len(tokens) + 1
-                tokens.append(END)
-                digests.append(xxhash.xxh64_intdigest(text or b"") - (1 << 63))
-                found = np.array([at.get(w, -1) for w in tokens])
-                if (some := found < 0).any():
-                    for w, c in Counter([tokens[k] for k in np.flatnonzero(some)]).items():
-                        rows.append(i)
-                        word.append(w)
-                        count.append(c)
-                    found = found[~some]
-                sums.append((len(tokens), int(known[found].sum()), float(base[found].sum()), float(own[found].sum()), size))
-            m = len(sums)
+        times = np.array(list(table_.values()), dtype=float)
+        # The last place is that of words not in the table.
+        base, known = np.append(np.log10(times + 1), 0), np.append(times > 0, False).astype(np.int64)
+        for b in slices(batches, 1, LOOK_BYTES):
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            digests = [digest_of(x) for x in texts]
+            tokens = [[*(x.lower().split() if x else []), END] for x in texts]
+            coded, flat, m = [b" ".join(x) for x in tokens], [*chain.from_iterable(tokens)], len(texts)
+            tokens_ = np.array([len(x) for x in tokens], dtype=np.int64)
+            begin = np.cumsum(tokens_) - tokens_
+            found = np.fromiter(map(at.get, flat, repeat(-1)), np.int64, len(flat))
+            known_, base_ = np.add.reduceat(known[found], begin), np.add.reduceat(base[found], begin)
+            some = np.flatnonzero(found < 0)
+            owner = np.searchsorted(begin, some, side="right") - 1
+            others = Counter(zip(owner.tolist(), [flat[k] for k in some.tolist()], strict=True))
+            rows, word, count = [i for i, _ in others], [w for _, w in others], [*others.values()]
+            own_ = [0.0] * m
+            if whole:
+                key, sizes = unroll(coded)
+                own_ = np.add.reduceat(held.value.of(key), np.cumsum(sizes) - sizes).tolist()
+            size_ = [len(x) for x in coded]
             take = pa.array([*range(m), *rows], pa.int32())
             zero = [0] * len(rows)
-            tokens_, known_, base_, own_, size_ = zip(*sums, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(take), pa.array(digests, pa.int64()).take(take), pa.array([None] * m + word, pa.binary()), pa.array([1] * m + count, pa.int64()), pa.array([*tokens_, *zero], pa.int64()), pa.array([*known_, *zero], pa.int64()), pa.array([*base_, *zero], pa.float64()), pa.array([*own_, *zero], pa.float64()), pa.array([*size_, *zero], pa.int64())],
+                [b.column(0).take(take), pa.array(digests, pa.int64()).take(take), pa.array([None] * m + word, pa.binary()), pa.array([1] * m + count, pa.int64()), pa.array([*tokens_, *zero], pa.int64()), pa.array([*known_, *zero], pa.int64()), pa.array([*base_, *zero], pa.float64()), pa.array([*own_, *zero], pa.float64()), pa.array([*size_, *zero], pa.int64())],
                 ["doc_id", "digest", "word", "times_here", "n_tokens", "n_known", "base", "own", "size"],
             )
 
@@ -297,10 +388,15 @@ def score(docs: DataFrame, parts: int = 7, part: int = 2, small: int | None = No
     fields = struct(("digest", T.LongType()), ("word", T.BinaryType()), ("times_here", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("own", T.DoubleType()), ("size", T.LongType()))
     parts_ = materialize(source.mapInArrow(run, T.StructType([source.schema[0], *fields.fields])), "scored-parts")
     here = F.col("times_here")
-    rare = parts_.where("word is not null").select("doc_id", "digest", "word", "times_here").join(words.select("word", "times", "score"), "word")
-    rare = rare.select("doc_id", "digest", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("times") > 0, here).otherwise(F.lit(0)).cast("long").alias("n_known"), (here * F.log10(F.col("times") + 1.0)).alias("base"), (here * F.col("score")).alias("own"), F.lit(0).cast("long").alias("size"))
+    rare = parts_.where("word is not null").select("doc_id", "digest", "word", "times_here").join(words.select("word", "times").hint("shuffle_hash"), "word")
+    rare = rare.select("doc_id", "digest", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("times") > 0, here).otherwise(F.lit(0)).cast("long").alias("n_known"), (here * F.log10(F.col("times") + 1.0)).alias("base"), F.lit(0.0).alias("own"), F.lit(0).cast("long").alias("size"))
     common = parts_.where("word is null").select("doc_id", "digest", F.lit(1).cast("long").alias("copies"), "n_tokens", "n_known", "base", "own", "size")
-    both = common.unionByName(rare).groupBy("doc_id", "digest").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "own", "size")])
+    every = common.unionByName(rare)
+    if not whole:
+        found = text_keys(docs).join(scored, "key").groupBy("doc_id", "digest").agg(F.sum(here * F.col("score")).alias("own"))
+        none = F.lit(0).cast("long")
+        every = every.unionByName(found.select("doc_id", "digest", *[none.alias(c) for c in ("copies", "n_tokens", "n_known")], F.lit(0.0).alias("base"), "own", none.alias("size")))
+    both = every.groupBy("doc_id", "digest").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "own", "size")])
     one = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     per = lambda c: F.col(c) / F.col("copies")
     return one.select(

@@ -166,6 +166,29 @@ def test_scoring_without_a_held_table(spark, docs):
     assert scoring.score(docs.where("doc_id < 0")).count() == 0
 
 
+def test_scoring_sees_past_words(spark):
+    w = ROWS[7][1].split()
+    text, shuffled = " ".join(w), " ".join(random.Random(9).sample(w, len(w)))
+    train = [i for i in range(200) if not brute.held(i, 7, 2)]
+    held = [i for i in range(200) if brute.held(i, 7, 2)]
+    rows = [(i, text) for i in train[:20]] + [(held[0], text), (held[1], shuffled)]
+    for small in (None, 0):
+        found = {r.doc_id: r.score for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), small=small).collect()}
+        assert found[held[0]] == pytest.approx(found[train[0]])
+        assert found[held[0]] > found[held[1]] + 10
+    # The score of a text is the sum over its bytes after the bytes before them, across words.
+    seen, asked = Counter(), set()
+    for i, t in rows:
+        padded = b" " * scoring.DEPTH + scoring.normal(t.encode())
+        for k in range(len(padded) - scoring.DEPTH):
+            key = padded[k : k + scoring.DEPTH], padded[k + scoring.DEPTH]
+            asked.add(key)
+            seen[key] += i in train
+    want = plain_ctw(seen, asked, scoring.DEPTH)
+    padded = b" " * scoring.DEPTH + scoring.normal(shuffled.encode())
+    assert found[held[1]] == pytest.approx(sum(want[padded[k : k + scoring.DEPTH], padded[k + scoring.DEPTH]] for k in range(len(padded) - scoring.DEPTH)))
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 
