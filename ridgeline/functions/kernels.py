@@ -656,14 +656,8 @@ def cumulative_gain(h: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def climbs(s: np.ndarray, ele: np.ndarray, o: ClimbOptions = ClimbOptions()) -> list[dict]:
-    """The best climb from every start, the best of those that do not overlap, and the parts of each."""
-    n = len(s)
-    stride = max(1, math.ceil(n / o.max_points))
-    rows = np.unique(np.append(np.arange(0, n, stride), n - 1)) if n else np.zeros(0, dtype=int)
-    d, e = s[rows], ele[rows]
-    if len(d) < 2:
-        return []
+def best_climbs(d: np.ndarray, e: np.ndarray, o: ClimbOptions) -> tuple[list[tuple[float, int, int]], np.ndarray, np.ndarray]:
+    """The best climb from every start that has one (score, first, last), and the ascent and the way climbed so far."""
     step, way = np.diff(e), np.diff(d)
     up = np.where(step > 0, step, 0.0)
     need = max(o.least_elevation_m, min(o.most_least_elevation_m, float(up.sum()) / o.elevation_ratio))
@@ -679,6 +673,18 @@ def climbs(s: np.ndarray, ele: np.ndarray, o: ClimbOptions = ClimbOptions()) ->
                 score = np.where(ok, length * np.power(np.where(ok, grade, 1), o.booster), -1.0)
                 j = len(score) - 1 - int(score[::-1].argmax())
                 best.append((float(score[j]), i, i + 1 + j))
+    return best, ups, climbing
+
+
+def climbs(s: np.ndarray, ele: np.ndarray, o: ClimbOptions = ClimbOptions()) -> list[dict]:
+    """The best climb from every start, the best of those that do not overlap, and the parts of each."""
+    n = len(s)
+    stride = max(1, math.ceil(n / o.max_points))
+    rows = np.unique(np.append(np.arange(0, n, stride), n - 1)) if n else np.zeros(0, dtype=int)
+    d, e = s[rows], ele[rows]
+    if len(d) < 2:
+        return []
+    best, ups, climbing = best_climbs(d, e, o)
     taken: list[tuple[float, int, int]] = []
     for c in sorted(best, key=lambda x: -x[0]):
         if all(c[2] < k[1] or c[1] > k[2] for k in taken):

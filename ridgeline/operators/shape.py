@@ -116,20 +116,13 @@ def climbs(df: DataFrame, options: ClimbOptions = ClimbOptions()) -> DataFrame:
     return summarize(df, ["distance", "elevation"], CLIMB, lambda t: kernels.climbs(t["distance"], t["elevation"], options))
 
 
-def climb_candidates(df: DataFrame, options: ClimbOptions = ClimbOptions(), reach: int = 64) -> DataFrame:
-    """The best climb from every start that ends at most `reach` points later: a bounded self-join on the
-    track, with running sums in place of inner loops."""
-    rise = F.coalesce(F.col("elevation") - F.lag("elevation").over(in_order()), F.lit(0.0))
-    way = F.coalesce(F.col("distance") - F.lag("distance").over(in_order()), F.lit(0.0))
-    so_far = in_order().rowsBetween(Window.unboundedPreceding, 0)
-    d = df.select("track_id", "seq", "distance", "elevation", rise.alias("rise"), way.alias("way"))
-    d = d.select("track_id", "seq", "distance", "elevation", F.sum(F.greatest("rise", F.lit(0.0))).over(so_far).alias("up"), F.sum(F.when(F.col("rise") > 0, F.col("way")).otherwise(0.0)).over(so_far).alias("climbing"))
-    need = d.groupBy("track_id").agg((F.greatest(F.lit(options.least_elevation_m), F.least(F.lit(options.most_least_elevation_m), F.max("up") / options.elevation_ratio))).alias("need"))
-    a = d.select("track_id", *[F.col(c).alias(f"a_{c}") for c in ("seq", "distance", "elevation", "up", "climbing")])
-    p = a.join(d, "track_id").where((F.col("seq") > F.col("a_seq")) & (F.col("seq") <= F.col("a_seq") + reach)).join(need, "track_id")
-    length, net = F.col("distance") - F.col("a_distance"), F.col("elevation") - F.col("a_elevation")
-    grade = 100 * net / length
-    steep = 100 * (F.col("up") - F.col("a_up")) / F.nullif(F.col("climbing") - F.col("a_climbing"), F.lit(0.0))
-    p = p.where((length > 10) & (net >= F.col("need"))).where((grade >= options.min_grade_percent) & (steep / grade <= options.max_grade_ratio))
-    p = p.withColumn("score", length * F.pow(grade, F.lit(options.booster)))
-    return p.groupBy("track_id", F.col("a_seq").alias("first")).agg(F.max("score").alias("score"), F.max_by("seq", F.struct("score", "seq")).alias("last"))
+def climb_candidates(df: DataFrame, options: ClimbOptions = ClimbOptions()) -> DataFrame:
+    """The best climb from every start, over all later points of its track (on a tie the last); one call a
+    track, whose time grows with the square of its points and whose memory does not."""
+
+    def best(t):
+        seq = t["_seq"]
+        return [{"first": int(seq[i]), "score": score, "last": int(seq[j])} for score, i, j in kernels.best_climbs(t["distance"], t["elevation"], options)[0]]
+
+    found = summarize(df.withColumn("_seq", F.col("seq")), ["distance", "elevation", "_seq"], "first long, score double, last long", best)
+    return found.withColumn("track_id", F.col("track_id").cast(df.schema["track_id"].dataType))

@@ -116,3 +116,10 @@ def test_matching_and_deltas(spark):
 def test_headwind_of_all(spark):
     p = trace_points(spark, SF)
     assert shape.headwind(p, by=None).count() == 1
+
+
+def test_climb_candidates_reach_the_summit(spark):
+    rows = [("long", i, 10.0 * i, 0.5 * i) for i in range(201)] + [("short", i, 10.0 * i, 0.5 * i) for i in range(41)]
+    found = {(r.track_id, r.first): r for r in shape.climb_candidates(spark.createDataFrame(rows, "track_id string, seq long, distance double, elevation double")).collect()}
+    assert found["long", 0]["last"] == 200 and found["long", 50]["last"] == 200 and found["short", 0]["last"] == 40
+    assert found["long", 0].score == pytest.approx(2000 * 5**1.3)
