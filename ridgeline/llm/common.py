@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,25 +32,50 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of fewer rows than usual, unless the session asks for its own number: rows hold whole
-    texts here, and a batch exists twice on its way to Python and back."""
+#: Rows in an Arrow batch while intermediate tables are written: rows hold whole texts, and a batch exists
+#: twice on its way to Python and back.
+BATCH_ROWS = 2000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of fewer rows than usual while something is written; the session's own setting, where it
+    is smaller or anything else runs, is left as it is."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, "2000")
+    before = spark.conf.get(key, "10000")
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: lineage is cut, and the rows outlive
-    the executors that made them."""
-    small_batches(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    the executors that made them. Tables lie in a folder of the application's, and can be deleted
+    with it; `discard` deletes those that no result reads any more."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    with small_batches(spark):
+        df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.__dict__["_written"] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables. No plan that is still to run may read them."""
+    for t in tables:
+        if path := t.__dict__.get("_written"):
+            context = t.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,6 +9,7 @@ blanks ("chunk") has ids of its own and can be looked up in a bounded cache.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from functools import cache
 
@@ -49,6 +50,13 @@ class Vocabulary:
         for table in (ids, self.special):
             for text, i in table.items():
                 self.strings[i] = text
+        if self.size > 1 << 16:
+            raise ValueError("pairs of ids are held as two halves of 32 bits: at most 65,536 ids")
+        if any(not c or any(x.isspace() for x in c) for c in self.special):
+            raise ValueError("texts are cut at white space: special tokens must have none inside")
+        #: What every special token begins with; and whether none can stand in a word with one mark after it.
+        self.opening = os.path.commonprefix(list(self.special))
+        self.simple = all(sum(not x.isalpha() for x in c) > 1 for c in self.special)
         letters = byte_letters()
         #: Ids of each byte inside a word and at its end.
         self.inner = [ids[c] for c in letters]
@@ -62,18 +70,18 @@ class Vocabulary:
     def pieces(self, chunk: bytes) -> list[bytes | int]:
         """A chunk's pre-tokens, as bytes, and its special tokens, as ids, in order."""
         # Most chunks are one word, or a word with a mark after it; others go through the pattern.
-        if chunk.isalpha():
+        if self.simple and chunk.isalpha():
             return [chunk.lower()]
         if chunk.isascii():
-            if chunk[:-1].isalpha() and chunk[-1:] in MARKS:
+            if self.simple and chunk[:-1].isalpha() and chunk[-1:] in MARKS:
                 return [chunk[:-1].lower(), chunk[-1:]]
             text = chunk.decode("ascii")
-            if "<|" not in text:
+            if not self.special or self.opening and self.opening not in text:
                 return [p.encode() for p in PIECES.findall(text.lower())]
         else:
             text = chunk.decode("utf-8", "surrogatepass")
             word = unicodedata.normalize("NFC", text).lower()
-            if word.isalpha() and "Σ" not in text:
+            if self.simple and word.isalpha() and "Σ" not in text:
                 return [word.encode()]
         out: list[bytes | int] = []
         at = 0
