@@ -5,8 +5,9 @@ pieces of each length (a histogram of at most `capacity` entries, whatever the c
 that the program needs. A configuration says how many pieces of which length share a sequence; the
 program asks for the least number of configurations that cover all pieces. Multiplicative weights
 solve it: prices of lengths fall as they get covered, and a knapsack dynamic program over the capacity
-prices configurations. Multiples are rounded down to whole sequences, and what that leaves is packed best
-fit, length by length. Prices also give a lower bound on the number of sequences.
+prices configurations. Multiples are rounded to whole sequences, the fullest configurations first, and the
+program is solved again for the pieces that rounding leaves, until none is left: every piece is placed by a
+configuration that the program priced. Prices also give a lower bound on the number of sequences.
 
 Pieces of a length are numbered within salted groups whose sizes add up to offsets, so a length that a
 third of all pieces share is dealt out over many tasks; the number then gives sequence and offset.
@@ -33,10 +34,13 @@ from ridgeline.llm.common import Recent, materialize, slices, struct, table
 
 CHUNKS, WORDS = 350_000, 200_000
 CAPACITY = 2048
-#: Rounds of pricing times the capacity, and configurations taken in each.
-WORK, PER_ROUND = 500_000, 64
-#: How fast prices fall with coverage, how far coverage goes, and how near the best a configuration must be.
-STEEP, COVER, NEAR = 1.0, 24.0, 0.99
+#: Rounds of pricing: in inverse proportion to the knapsack's items, within limits.
+WORK, LEAST_ROUNDS, MOST_ROUNDS = 60_000, 20, 600
+#: Share of the volume that whole parts of multiples must place, for fractions to be left to the next solution.
+SHARE = 0.2
+#: How fast prices fall with coverage, how far coverage goes (loose, level), how near the best a configuration must be, how far a
+#: length's coverage may run ahead in a round, and how near its bound a plan is taken without a second try.
+STEEP, COVER, NEAR, AHEAD, GOOD = 1.5, (24.0, 4.0), 0.99, 0.5, 1.002
 
 
 class IdBytes:
@@ -105,117 +109,135 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     return source.mapInArrow(run, T.StructType([source.schema[0], *rest.fields]))
 
 
-def knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best value within each capacity, with repetition, and the length taken there (0: leave one place
-    empty). price[l] is that of length l; price[0] is not used."""
+def items(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length and copies of the knapsack's items, long lengths first: as many copies of a length as there are
+    and as fit, split into powers of two so that every number up to that is a sum of items."""
+    capacity, length, copies = len(counts) - 1, [], []
+    for k in np.flatnonzero(counts)[::-1].tolist():
+        n, m = min(int(counts[k]), capacity // k), 1
+        while n > 0:
+            m = min(m, n)
+            length.append(k)
+            copies.append(m)
+            n, m = n - m, 2 * m
+    return np.array(length, dtype=np.int64), np.array(copies, dtype=np.int64)
+
+
+def knapsack(price: np.ndarray, length: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best value within each capacity, every item once at most, and whether each item is taken there.
+    price[l] is that of length l; price[0] is not used. An item comes in only where it gains something."""
     capacity = len(price) - 1
-    best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    items = price[1:]
-    for c in range(1, capacity + 1):
-        values = items[:c] + best[c - 1 :: -1] if c < capacity else items + best[c - 1 :: -1]
-        k = int(values.argmax())
-        if values[k] > best[c - 1]:
-            best[c], taken[c] = values[k], k + 1
-        else:
-            best[c] = best[c - 1]
+    best, taken = np.zeros(capacity + 1), np.zeros((len(length), capacity + 1), dtype=bool)
+    for i, (w, v) in enumerate(zip((length * copies).tolist(), (price[length] * copies).tolist(), strict=True)):
+        with_it = best[: capacity + 1 - w] + v
+        np.greater(with_it, best[w:] + 1e-12, out=taken[i, w:])
+        np.maximum(best[w:], with_it, out=best[w:])
     return best, taken
 
 
-def filled(capacity: int, taken: np.ndarray) -> dict[int, int]:
-    out: dict[int, int] = {}
-    while capacity > 0:
-        if length := int(taken[capacity]):
-            out[length] = out.get(length, 0) + 1
-            capacity -= length
-        else:
-            capacity -= 1
+def filled(room: np.ndarray, taken: np.ndarray, length: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """For each capacity in `room` a row of how many pieces of each length the best value there has."""
+    room, out = room.copy(), np.zeros((len(room), taken.shape[1]), dtype=np.int64)
+    for i in range(len(length) - 1, -1, -1):
+        here = taken[i, room]
+        if here.any():
+            out[here, length[i]] += copies[i]
+            room -= here * (length[i] * copies[i])
     return out
 
 
-def solve(counts: np.ndarray) -> tuple[dict[tuple, float], float]:
+def solve(counts: np.ndarray, level: bool = True) -> tuple[dict[tuple, float], float]:
     """Fractional multiples of configurations, and a lower bound on the number of sequences.
 
     A length's price starts at its size and falls with its coverage. Each round prices configurations by
     the knapsack program and takes those within `NEAR` of the best: the best itself, and the best ones that
-    hold each of the least covered lengths. Coverage is driven to `COVER` times the counts and scaled back."""
+    hold each of the least covered lengths. No configuration has more pieces of a length than there are.
+    In a round coverage rises by at most `AHEAD`: above that of the least covered length (level), which keeps the
+    solution usable early, or above each length's own, which finds the better prices where sizes alone don't
+    decide. Coverage is driven to `COVER` times the counts and scaled back to the counts at most."""
     capacity = len(counts) - 1
     present = np.flatnonzero(counts)
     if not len(present):
         return {}, 0.0
     size = np.arange(capacity + 1) / capacity
-    covered, multiples, bound = np.zeros(capacity + 1), {}, float(np.ceil((counts * size).sum()))
-    price = size
-    for _ in range(max(60, WORK // capacity)):
+    length, copies = items(counts)
+    covered, multiples, bound = np.zeros(capacity + 1), {}, float(np.ceil((counts * size).sum() - 1e-9))
+    for _ in range(max(LEAST_ROUNDS, min(MOST_ROUNDS, WORK // len(length)))):
         price = np.where(counts > 0, size * np.exp(-STEEP * (covered - covered[present].min())), 0)
-        best, taken = knapsack(price)
+        best, taken = knapsack(price, length, copies)
         bound = max(bound, float((counts * price).sum() / best[capacity]))
-        before = covered.copy()
-        dearest = present[np.argsort(covered[present], kind="stable")][:PER_ROUND].tolist()
-        for length in (0, *dearest):
-            if price[length] + best[capacity - length] < NEAR * best[capacity]:
+        most = (np.full(capacity + 1, covered[present].min()) if level else covered.copy()) + AHEAD
+        around = np.append(0, present[np.argsort(covered[present], kind="stable")])
+        around = around[np.where(around > 0, price[around], 0) + best[capacity - around] >= NEAR * best[capacity]]
+        made = filled(capacity - around, taken, length, copies)
+        made[np.arange(len(around)), around] += around > 0
+        for one in made[(made <= counts).all(axis=1)]:
+            k = np.flatnonzero(one)[::-1]
+            step = float(((most[k] - covered[k]) * counts[k] / one[k]).min(initial=np.inf)) / 2
+            if not 1e-3 < step < np.inf:
                 continue
-            one = filled(capacity - length, taken)
-            if length:
-                one[length] = one.get(length, 0) + 1
-            if any(counts[k] < a for k, a in one.items()):
-                one = _fill(counts, length, present) if length else {}
-            if not one or max(covered[k] - before[k] for k in one) > 0.5:
-                continue
-            step = 0.25 * min(counts[k] / a for k, a in one.items())
-            key = tuple(sorted(one.items(), reverse=True))
+            key = tuple(zip(k.tolist(), one[k].tolist(), strict=True))
             multiples[key] = multiples.get(key, 0) + step
-            for k, a in one.items():
-                covered[k] += a * step / counts[k]
-        if covered[present].min() >= COVER:
+            covered[k] += one[k] * step / counts[k]
+        if covered[present].min() >= COVER[level]:
             break
-    share = float((counts * covered).sum() / counts.sum())
-    return {k: x / max(share, 1e-9) for k, x in multiples.items()}, bound
-
+    return {k: x / covered.max() for k, x in multiples.items()}, bound
 
-def _fill(counts: np.ndarray, length: int, present: np.ndarray) -> dict[int, int]:
-    """A configuration around one piece of a length, filled from the longest down within the counts."""
-    one, room = {length: 1}, len(counts) - 1 - length
-    for k in present[::-1].tolist():
-        a = min(room // k, int(counts[k]) - one.get(k, 0))
-        if a > 0:
-            one[k], room = one.get(k, 0) + a, room - a * k
-    return one
 
+def rounded(multiples: dict[tuple, float], left: np.ndarray) -> list[tuple[tuple, int]]:
+    """Whole multiples of the program's configurations, taken out of `left`: the whole parts, as long as they
+    place a good share; otherwise one of each that still fits, the fullest first and of these those with the
+    longest pieces. Once half of the volume is placed, only the fullest go on: the rest is solved anew."""
+    chosen, capacity = [], len(left) - 1
+    used = lambda key: sum(k * a for k, a in key)
+    volume = placed = int((left * np.arange(capacity + 1)).sum())
 
-def best_fit(counts: np.ndarray) -> dict[tuple, int]:
-    """Configurations with whole multiples for the counts: each sequence is filled with the longest pieces
-    that still fit, and equal sequences are made together, so that there are no more steps than lengths."""
-    left, out, capacity = counts.copy(), {}, len(counts) - 1
-    while left.any():
-        room, one = capacity, {}
-        for k in np.flatnonzero(left)[::-1].tolist():
-            if a := min(room // k, int(left[k])):
-                one[k], room = a, room - a * k
-        m = min(int(left[k]) // a for k, a in one.items())
-        key = tuple(one.items())
-        out[key] = out.get(key, 0) + m
-        for k, a in one.items():
-            left[k] -= a * m
-    return out
+    def take(key: tuple, m: int) -> int:
+        m = min(m, *(int(left[k]) // a for k, a in key))
+        if m > 0:
+            chosen.append((key, m))
+            for k, a in key:
+                left[k] -= a * m
+        return max(m, 0) * used(key)
+
+    placed = sum(take(key, int(x)) for key, x in sorted(multiples.items(), key=lambda e: (-e[1], e[0])) if x >= 1)
+    if placed >= SHARE * volume:
+        return chosen
+    by_room: dict[int, list[tuple]] = {}
+    for key in multiples:
+        by_room.setdefault(capacity - used(key), []).append(key)
+    for room in sorted(by_room):
+        placed += sum(take(key, 1) for key in sorted(by_room[room], key=lambda key: (-key[0][0], -multiples[key], key)))
+        if 2 * placed >= volume:
+            break
+    return chosen
 
 
 def plan(counts: np.ndarray) -> tuple[list[tuple[tuple, int]], float]:
     """Configurations with whole multiples that hold exactly `counts` pieces of each length, and the
-    lower bound on the number of sequences."""
-    left, chosen, bound = counts.astype(np.int64).copy(), [], 0.0
+    lower bound on the number of sequences. The program is solved, rounded, and solved again for what
+    rounding left, until all pieces are placed. A plan that is not near the bound is tried against one from
+    prices that are let loose; the better one counts."""
     capacity = len(counts) - 1
-    if left[capacity]:
-        chosen.append((((capacity, 1),), int(left[capacity])))
-        bound, left[capacity] = float(left[capacity]), 0
-    multiples, least = solve(left)
-    # Those taken most often first: they are what the prices settled on.
-    for key, x in sorted(multiples.items(), key=lambda m: (-m[1], m[0])):
-        m = min(int(x), *(int(left[k]) // a for k, a in key))
-        if m > 0:
-            chosen.append((key, m))
-            for k, a in key:
-                left[k] -= a * m
-    return chosen + sorted(best_fit(left).items()), bound + least
+    short = counts.astype(np.int64).copy()
+    long, short[capacity] = int(short[capacity]), 0
+    found, bound = attempt(short, True)
+    if sum(found.values()) > GOOD * bound + 1:
+        other, low = attempt(short, False)
+        bound = max(bound, low)
+        if sum(other.values()) < sum(found.values()):
+            found = other
+    return ([(((capacity, 1),), long)] if long else []) + list(found.items()), long + bound
+
+
+def attempt(counts: np.ndarray, level: bool) -> tuple[dict[tuple, int], float]:
+    left, found, bound = counts.copy(), {}, 0.0
+    while left.any():
+        multiples, low = solve(left, level)
+        bound = bound or low
+        for key, m in rounded(multiples, left):
+            found[key] = found.get(key, 0) + m
+    return found, bound
 
 
 def layout(chosen: list[tuple[tuple, int]]) -> tuple[np.ndarray, ...]:

@@ -104,3 +104,18 @@ def base_scores(rows):
     c = Counter(w for i, ws in tokens.items() if not held(i, 7, 2) for w in ws)
     n, v = sum(c.values()), len(c)
     return {i: (held(i, 7, 2), len(ws), sum(c[w] > 0 for w in ws), n, sum(log10((c[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in tokens.items()}
+
+
+def best_fit(counts):
+    """Multiples of the sequences that filling each with the longest pieces that still fit gives."""
+    left, out = counts.copy(), []
+    while left.any():
+        room, one = len(counts) - 1, {}
+        for k in reversed([k for k, n in enumerate(left) if n]):
+            if a := min(room // k, int(left[k])):
+                one[k], room = a, room - a * k
+        m = min(int(left[k]) // a for k, a in one.items())
+        out.append(m)
+        for k, a in one.items():
+            left[k] -= a * m
+    return out
