@@ -3,16 +3,21 @@
 A bounded sample's neighbour graph is cut into balanced parts (recursive bisection by the graph's
 slowest-varying vector at its median, then swaps that shorten the cut). A small classifier learns which
 parts a vector's neighbours lie in. Every row is indexed under its most probable part; a query is sent
-to as many of its most probable parts as the sample needs for the recall asked for, and is ranked there
-on the original vectors, in double precision, against every row of the part.
+to its most probable parts until their probabilities add up to what the held-out part of the sample needs
+for the recall asked for, and until they hold enough rows. There it is ranked on the original vectors, in
+double precision, against every row of the part.
 
-Sample, graph and classifier are bounded by `SAMPLE` and `PARTS` and live on the driver; rows are dealt
-out by part, and parts with many rows by blocks of bounded size (a group of equal vectors shares a
-part, not a task). Blocks return each query's best, which are merged by query.
+Parts and sample grow with the number of rows (`PART_ROWS` rows a part, `SAMPLED` sample rows a part, up to
+`MOST_PARTS` parts): with vectors of some structure, a query meets a number of rows that stays the same.
+Sample, graph and classifier live on the driver, at most SAMPLED * MOST_PARTS vectors. Rows are dealt out by
+part; both a part's rows and the queries sent to it are cut into blocks of bounded size, so a group of equal
+vectors shares a part, not a task. Blocks return each query's best, which are merged by query. A query that
+still found fewer than k, because rows of its own id filled its parts, is ranked against all rows.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of
 another length than most. Rows with the same id count as one row each; a query never meets its own
-id. Fewer candidates than asked for are all returned. Only id and vector are read.
+id. Rows without an id take no part. Fewer candidates than asked for are all returned. Only id and vector
+are read.
 """
 
 from __future__ import annotations
@@ -22,53 +27,71 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import materialize, table
+from ridgeline.llm.common import discard, materialize, table
 
-#: Vectors that the partition is learned from, its parts, and neighbours in the graph.
-SAMPLE, PARTS, GRAPH = 2048, 32, 12
+#: Rows of a part as far as parts may grow in number, sample rows of each, most parts, and neighbours in the graph.
+PART_ROWS, SAMPLED, MOST_PARTS, GRAPH = 1024, 64, 512, 12
+#: The least sample, and the least parts.
+SAMPLE, PARTS = 4096, 32
+#: Rows and queries that one task compares at a time.
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 #: Share of the sample's neighbours that the parts visited must hold.
-RECALL = 0.97
+RECALL = 0.96
 
+Edges = tuple[np.ndarray, np.ndarray]
 
-def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """Symmetric 0/1 matrix of each row's k nearest others by inner product."""
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
+
+def nearest(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
+    """Each query's k nearest rows by inner product, but for the row numbered `own`, in any order."""
+    out = np.zeros((len(q), k), dtype=np.int64)
+    for a in range(0, len(q), 512):
+        s = q[a : a + 512] @ x.T
+        if own is not None:
+            s[np.arange(len(s)), own[a : a + 512]] = -np.inf
+        out[a : a + 512] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    return out
+
+
+def neighbour_graph(x: np.ndarray, k: int) -> Edges:
+    """Both ends of every edge between a row and one of its k nearest others, each edge in both directions."""
     k = min(k, len(x) - 1)
-    near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(x), 0), dtype=int)
-    g = np.zeros((len(x), len(x)), dtype=np.float32)
-    g[np.repeat(np.arange(len(x)), k), near.reshape(-1)] = 1
-    return np.maximum(g, g.T)
+    near = nearest(x, x, k, np.arange(len(x))) if k > 0 else np.zeros((len(x), 0), dtype=np.int64)
+    a, b = np.repeat(np.arange(len(x)), k), near.reshape(-1)
+    both = np.unique(np.concatenate([a * len(x) + b, b * len(x) + a]))
+    return both // len(x), both % len(x)
 
 
-def bisect(g: np.ndarray, rounds: int = 40) -> np.ndarray:
+def bisect(edges: Edges, n: int, rounds: int = 40) -> np.ndarray:
     """One half of the nodes as True: the signs around the median of the second eigenvector, improved by
     swapping the nodes that gain most."""
-    n = len(g)
-    scale = 1 / np.sqrt(g.sum(axis=1) + 1)
+    a, b = edges
+    total = lambda v: np.bincount(a, weights=v[b], minlength=n)
+    scale = 1 / np.sqrt(np.bincount(a, minlength=n) + 1)
     flat = 1 / scale / np.linalg.norm(1 / scale)
     v = np.cos(np.arange(n) * 2.399963)
     for _ in range(rounds):
         v = v - flat * (flat @ v)
-        v = scale * (g @ (scale * v)) + scale * scale * v + v
+        v = scale * total(scale * v) + scale * scale * v + v
         v /= np.linalg.norm(v) + 1e-30
     side = np.zeros(n, dtype=bool)
     side[np.argsort(v * scale, kind="stable")[n // 2 :]] = True
+    cut = lambda: int((side[a] != side[b]).sum())
+    least = cut()
     for _ in range(20):
-        pull = g @ np.where(side, 1.0, -1.0).astype(np.float32)
+        pull = total(np.where(side, 1.0, -1.0))
         gain = np.where(side, -pull, pull)
-        a, b = np.flatnonzero(side), np.flatnonzero(~side)
-        a, b = a[np.argsort(-gain[a], kind="stable")], b[np.argsort(-gain[b], kind="stable")]
-        m = max(1, min(len(a), len(b)) // 50)
-        a, b = a[:m], b[:m]
-        good = gain[a] + gain[b] - 2 * g[a, b] > 0
+        one, two = np.flatnonzero(side), np.flatnonzero(~side)
+        one, two = one[np.argsort(-gain[one], kind="stable")], two[np.argsort(-gain[two], kind="stable")]
+        m = max(1, min(len(one), len(two)) // 50)
+        one, two = one[:m], two[:m]
+        good = gain[one] + gain[two] > 0
         if not good.any():
             break
-        before = float((g * np.outer(side, ~side)).sum())
-        side[a[good]], side[b[good]] = False, True
-        if float((g * np.outer(side, ~side)).sum()) >= before:
-            side[a[good]], side[b[good]] = True, False
+        side[one[good]], side[two[good]] = False, True
+        if (now := cut()) >= least:
+            side[one[good]], side[two[good]] = True, False
             break
+        least = now
     return side
 
 
@@ -81,7 +104,7 @@ def partition(x: np.ndarray, parts: int) -> np.ndarray:
         for p in range(count):
             rows = np.flatnonzero(label == p)
             if len(rows) > 1:
-                new[rows] += bisect(neighbour_graph(x[rows], GRAPH))
+                new[rows] += bisect(neighbour_graph(x[rows], GRAPH), len(rows))
         label, count = new, count * 2
     return label
 
@@ -118,26 +141,44 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def learn(x: np.ndarray, k: int, parts: int = PARTS, recall: float = RECALL) -> tuple[Router | None, int]:
-    """The router, and how many parts a query visits. Too small a sample has one part."""
+def parts_for(n: int) -> int:
+    """How many parts n rows get: a power of two."""
+    return min(MOST_PARTS, max(PARTS, 1 << max(0, (n // PART_ROWS).bit_length() - 1)))
+
+
+def learn(x: np.ndarray, k: int, parts: int = PARTS, recall: float = RECALL) -> tuple[Router | None, float]:
+    """The router, and what the probabilities of the parts that a query visits must add up to. Too small a
+    sample has one part."""
     if len(x) < 8 * parts:
-        return None, 1
+        return None, 1.0
     label = partition(x, parts)
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
-    near = np.argpartition(-s, min(k, len(x) - 2), axis=1)[:, :k]
+    k = min(k, len(x) - 2)
+    near = nearest(x, x, k, np.arange(len(x)))
     target = 0.5 * np.eye(parts)[label]
-    for j in range(near.shape[1]):
-        target[np.arange(len(x)), label[near[:, j]]] += 0.5 / near.shape[1]
-    # Learned on three quarters, the number of visits chosen on the rest.
+    np.add.at(target, (np.arange(len(x))[:, None], label[near]), 0.5 / k)
+    # Learned on three quarters, how far a query goes chosen on the rest.
     held = np.arange(len(x)) % 4 == 3
     router = Router(x[~held], target[~held])
     at = router(x).argmax(axis=1)
-    order = np.argsort(-router(x[held]), axis=1)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(parts), order.shape), axis=1)
-    needed = np.sort(np.take_along_axis(place, at[near[held]], axis=1).reshape(-1))
-    return router, min(parts, max(2, int(needed[int(recall * (len(needed) - 1))]) + 1))
+    p = router(x[held])
+    order = np.argsort(-p, axis=1, kind="stable")
+    before = np.zeros_like(p)
+    np.put_along_axis(before, order, np.cumsum(np.take_along_axis(p, order, axis=1), axis=1), axis=1)
+    # What the parts more probable than a neighbour's own add up to.
+    needed = np.sort((before - p)[np.arange(len(p))[:, None], at[near[held]]].reshape(-1))
+    return router, float(needed[int(recall * (len(needed) - 1))])
+
+
+def visited(p: np.ndarray, sizes: np.ndarray, enough: float, k: int) -> list[np.ndarray]:
+    """The parts that each query visits: the most probable ones until those before them add up to more than
+    `enough`, two at least, and on until they hold more than k rows."""
+    order = np.argsort(-p, axis=1, kind="stable")
+    before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
+    rows = np.cumsum(sizes[order], axis=1) - sizes[order]
+    go = (before <= enough) | (rows <= k)
+    go[:, :2] = True
+    # Parts without rows are passed over.
+    return [o[g & (sizes[o] > 0)].astype(np.int32) for o, g in zip(order, go, strict=True)]
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -174,31 +215,62 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "e
     the id column) holds."""
     rows = usable(df, id_col, vector_col)
     n = rows.count()
-    share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, 1.3 * SAMPLE / max(n, 1)) * 1_000_000) + 1
-    got = rows.where(share).select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id").limit(SAMPLE).collect()
-    router, visits = learn(np.array([r["v"] for r in got]), k, recall=recall) if got else (None, 1)
-    parts = PARTS if router else 1
+    parts = parts_for(n)
+    size = max(SAMPLE, SAMPLED * parts)
+    share = F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)) < int(min(1.0, 1.3 * size / max(n, 1)) * 1_000_000_000) + 1
+    got = rows.where(share).select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id").limit(size).collect()
+    router, enough = learn(np.array([r["v"] for r in got]), k, parts, recall) if got else (None, 1.0)
+    parts = parts if router else 1
 
     def place(batches):
         for b in batches:
-            p = router(np.stack(b["v"].to_numpy())) if router and len(b) else np.ones((len(b), 1))
-            top = np.argsort(-p, axis=1, kind="stable")[:, :visits]
-            yield pd.DataFrame({"id": b["id"], "v": b["v"], "part": top[:, 0].astype(np.int32), "parts": list(top.astype(np.int32))})
-
-    placed = materialize(rows.mapInPandas(place, "id long, v array<double>, part int, parts array<int>"), "placed")
-    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
-    most = min(4096, max(256, n // 64))
-    blocks = F.element_at(F.array(*[F.lit(-(-max(1, sizes.get(p, 0)) // most)) for p in range(parts)]), F.col("part") + 1)
-    items = placed.select("id", "v", "part", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    sent = placed.where(is_query(F.col("id"))).select("id", "v", F.explode("parts").alias("part"))
-    sent = sent.select("id", "v", "part", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block"))
+            p = router(np.stack(b["v"].to_numpy())).argmax(axis=1) if router and len(b) else np.zeros(len(b))
+            yield pd.DataFrame({"id": b["id"], "v": b["v"], "part": p.astype(np.int32)})
+
+    placed = materialize(rows.mapInPandas(place, "id long, v array<double>, part int"), "placed")
+    sizes = np.zeros(parts, dtype=np.int64)
+    for r in placed.groupBy("part").count().collect():
+        sizes[r["part"]] = r["count"]
+
+    def send(batches):
+        for b in batches:
+            to = visited(router(np.stack(b["v"].to_numpy())), sizes, enough, k) if router and len(b) else [np.zeros(1, np.int32)] * len(b)
+            yield pd.DataFrame({"id": b["id"], "v": b["v"], "parts": to})
+
+    sent = placed.where(is_query(F.col("id"))).select("id", "v").mapInPandas(send, "id long, v array<double>, parts array<int>")
+    found = materialize(_ranked(placed, sent, sizes, k), "found")
+    # Queries whose parts did not have enough rows of other ids go to all parts.
+    other = n - 1 if n else 0
+    short = placed.where(is_query(F.col("id"))).select("id").distinct().join(found.groupBy(F.col("query_id").alias("id")).count(), "id", "left").where(F.coalesce("count", F.lit(0)) < min(k, other)).select("id")
+    short = materialize(short, "short")
+    if parts > 1 and short.count():
+        every = placed.where(is_query(F.col("id"))).join(short, "id").select("id", "v", F.sequence(F.lit(0), F.lit(parts - 1)).alias("parts"))
+        found = found.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(_ranked(placed, every, sizes, k))
+    else:
+        discard(placed)
+    return found
+
+
+def _ranked(placed: DataFrame, sent: DataFrame, sizes: np.ndarray, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: each query against all rows of the parts that it is sent to."""
+    sent = materialize(sent.select("id", "v", F.explode("parts").alias("part")), "sent")
+    asked = np.zeros(len(sizes), dtype=np.int64)
+    for r in sent.groupBy("part").count().collect():
+        asked[r["part"]] = r["count"]
+    of = lambda counts, most: F.element_at(F.array(*[F.lit(int(max(1, -(-c // most)))) for c in counts]), F.col("part") + 1)
+    blocks, cuts = of(sizes, BLOCK_ROWS), of(asked, BLOCK_QUERIES)
+    upto = lambda m: F.explode(F.sequence(F.lit(0), (m - 1).cast("int")))
+    mine = lambda m: F.pmod(F.xxhash64("id"), m).cast("int")
+    items = placed.select("id", "v", "part", mine(blocks).alias("block")).select("*", upto(cuts).alias("cut"))
+    queries = sent.select("id", "v", "part", mine(cuts).alias("cut")).select("*", upto(blocks).alias("block"))
 
     def rank(_, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         return best(np.stack(q["v"].to_numpy()), q["id"].to_numpy(), np.stack(x["v"].to_numpy()), x["id"].to_numpy(), k)
 
-    found = sent.groupBy("part", "block").cogroup(items.groupBy("part", "block")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    keys = ("part", "block", "cut")
+    found = queries.groupBy(*keys).cogroup(items.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
