@@ -12,7 +12,8 @@ How work stays in proportion to the input:
   size fits, which joins most of a group of near copies in one step, whatever its size;
 * documents of buckets that are then still in several groups are joined across groups by prefix
   filtering on their full sets: exact, and blind to what very many of them have in common, so neither a
-  passage that documents share nor a large group of distant copies makes all its pairs.
+  passage that documents share nor a large group of distant copies makes all its pairs. A shingle that only
+  one group has joins nothing, and a frequent one is dealt out over tasks.
 With 42 bands of 5 rows, a pair at similarity 0.75 shares no band in 1 of 90,000 cases, at 0.8 in 1 of
 20 million. No bucket, group or list of candidates is capped, sampled or held by one task or the driver.
 
@@ -20,11 +21,14 @@ Union-find is distributed: rounds of links to the smallest neighbour, from both
 changes; tables between rounds are written to the shared folder.
 
 Texts without words and null texts have an empty set and are linked with nothing. A repeated id comes
-back once for each of its rows. Columns other than the id and the text are not read.
+back once for each of its rows; if its texts differ it is linked with what any of them is like, in whatever
+order the rows come. A row without an id is linked with nothing and has no component. Columns other than the
+id and the text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import Recent, materialize, slices, struct, table
+from ridgeline.llm.common import Recent, discard, materialize, slices, struct, table
 
 BANDS, BAND_ROWS = 42, 5
 SLOTS = BANDS * BAND_ROWS
@@ -43,6 +47,8 @@ SHINGLE, LEAST, MOST = 5, 75, 100  # links: 100 * common >= 75 * all
 BLOCK = 1 << 15
 #: Sizes na and nb that allow the similarity.
 FITS = f"least(na, nb) * {MOST} >= greatest(na, nb) * {LEAST}"
+#: Sets that a shingle's key holds before it is dealt out.
+CROWD = 1000
 UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -165,36 +171,61 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The full sets of the documents whose doc_id is in `wanted`, made again from their texts."""
+    """The full sets of the documents whose doc_id is in `wanted`, made again from their texts: doc_id, d (a
+    number of the set) and shingles. An id that has several texts has all their sets."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(shingle_sets(ids.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    found = shingle_sets(ids.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")).where(F.size("shingles") > 0)
+    return materialize(found.withColumn("d", F.xxhash64("shingles")).dropDuplicates(["doc_id", "d"]), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+    """Those of the pairs (a, b) of which any two full sets are similar enough."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(two, "b").join(one, "a").where(MOST * both >= LEAST * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def across(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different groups among the sets, by prefix filtering: with shingles in order
-    of frequency, rarest first, two sets as similar as asked share one among the first of each, and at a
-    place that leaves room for all that they must share. Shingles of one set only take places but join
-    nothing, so sets that differ from all others in more than the rest allows pair with none."""
-    each = materialize(sets.select("doc_id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("x")), "shingles")
+def prefixes(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """x, doc_id, n, at, c: the shingles by which a set can meet another, with their place in the set (rarest
+    first, those of this set alone before all others) and the set's group. Shingles that only one group has are
+    left out."""
+    each = materialize(sets.select("doc_id", "d", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("x")), "shingles")
     often = each.groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
-    shared = each.join(often, "x")
-    by_rarity = Window.partitionBy("doc_id").orderBy("f", "x")
-    placed = shared.withColumn("k", F.row_number().over(by_rarity)).withColumn("own", F.count("*").over(Window.partitionBy("doc_id")))
-    # Shingles of this set alone come first.
+    by_rarity = Window.partitionBy("doc_id", "d").orderBy("f", "x")
+    placed = each.join(often, "x").withColumn("k", F.row_number().over(by_rarity)).withColumn("own", F.count("*").over(Window.partitionBy("doc_id", "d")))
     placed = placed.withColumn("at", F.col("k") + F.col("n") - F.col("own")).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * LEAST / MOST) + 1)
     placed = materialize(placed.join(groups, "doc_id").select("x", "doc_id", "n", "at", "c"), "prefixes")
-    side = lambda z: placed.select("x", F.col("doc_id").alias(z), F.col("n").alias(f"n{z}"), F.col("at").alias(f"at{z}"), F.col("c").alias(f"c{z}"))
+    several = placed.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("x")
+    out = materialize(placed.join(several, "x"), "prefixes")
+    discard(each, placed)
+    return out
+
+
+def across(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different groups among the sets, by prefix filtering: with shingles in order
+    of frequency, rarest first, two sets as similar as asked share one among the first of each, and at a
+    place that leaves room for all that they must share.
+
+    What can be said of one set alone is asked before pairs are made: of two sets the smaller one must share
+    2 * LEAST / (LEAST + MOST) of its shingles, so it meets others by its first seventh, the larger by its first
+    quarter; sizes meet by steps of a third, a set's own and the next. So documents that have three quarters in
+    common, but less than makes a link, meet nobody by that. A shingle of very many sets is dealt out by salt."""
+    placed = prefixes(sets, groups)
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(MOST / LEAST)).cast("int")
+    small = placed.where(F.col("n") * 2 * LEAST <= (F.col("n") - F.col("at") + 1) * (LEAST + MOST)).withColumn("step", F.explode(F.array(step, step + 1)))
+    large = placed.withColumn("step", step)
+    # So many parts of a key's smaller sets as keep each part to CROWD.
+    parts = small.groupBy("x", "step").agg(F.ceil(F.count("*") / CROWD).alias("parts")).where("parts > 1")
+    small = small.join(parts, ["x", "step"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))))
+    large = large.join(parts, ["x", "step"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)))
+    side = lambda rows, z: rows.select("x", "step", "salt", F.col("doc_id").alias(z), F.col("n").alias(f"n{z}"), F.col("at").alias(f"at{z}"), F.col("c").alias(f"c{z}"))
     room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) + 1
     needed = (F.col("na") + F.col("nb")) * LEAST <= room * (LEAST + MOST)
-    return side("a").join(side("b"), "x").where("a < b and ca <> cb").where(FITS).where(needed).select("a", "b").distinct()
+    # Equal sizes stand on both sides: each such pair is made once.
+    once = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+    pairs = side(small, "a").join(side(large, "b"), ["x", "step", "salt"]).where("ca <> cb").where(once).where(FITS).where(needed)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +239,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u"))).where("u <> v").distinct()
-        edges = materialize(small, "links")
+        edges, before = materialize(small, "links"), edges
+        discard(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == last:
             break
@@ -216,10 +248,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
 
 
+def same_ids(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of classes that hold different texts of one id."""
+    several = full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    held = full.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes, "digest").select("doc_id", F.col("rep").alias("b"))
+    return held.join(held.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").where("a <> b").select("a", "b")
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's smallest id) of every row."""
     sketches = materialize(sketch(docs, id_col, text_col), "sketches")
-    full = sketches.where("digest is not null")
+    full = sketches.where("digest is not null and doc_id is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
@@ -229,17 +268,21 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # Each representative is compared with the smallest first member of its buckets that may be similar.
     near = entries.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb")).where("a <> b").where(FITS)
     pairs = materialize(near.groupBy("b").agg(F.min("a").alias("a")), "pairs")
-    links = materialize(confirm(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, id_col, text_col)), "confirmed")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, id_col, text_col)
+    links = materialize(confirm(pairs, sets).unionByName(same_ids(full, classes)), "confirmed")
+    discard(sets, pairs)
     found = components(links)
     # Buckets that this has not made one group, and an exact join of their members across groups.
     placed = entries.select("band", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
     rest = materialize(placed.join(mixed, "band").select(F.col("rep").alias("doc_id"), "c").distinct(), "mixed")
+    discard(entries, found)
     sets = sets_of(rest, docs, id_col, text_col)
-    more = confirm(materialize(across(sets, rest), "cross"), sets)
+    more = materialize(confirm(materialize(across(sets, rest), "cross"), sets), "confirmed")
+    discard(sets, rest)
     found = components(links.unionByName(more))
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(labelled, "digest", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    out = sketches.select("doc_id", "n_shingles", "digest").join(labelled, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
