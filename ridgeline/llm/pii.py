@@ -44,22 +44,44 @@ BASE = 4
 TOP_LEVEL = "com org net edu gov io co info biz de fr es uk eu us ca it nl ch at be se no dk pl pt br mx jp cn in au nz ru".split()
 BEFORE = {"email": "mail e-mail contact write address", "ip": "ip host server address login from", "card": "card visa credit mastercard payment pay number", "phone": "phone tel call mobile fax dial contact", "secret": "key token secret password auth bearer credential"}
 NEAR = 24
+#: Elements of an array that one fold carries along.
+BLOCK = 256
 VOTES = ("pattern", "check", "gazetteer", "words", "edges")
 
 
-def _spans(text: Column, number: int, expression: str) -> Column:
-    """array<struct<p, start, end, s>> of the pattern's matches, leftmost first, none overlapping."""
-    found = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    gaps = F.split(text, expression, -1)
-    step = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<p:int,start:int,end:int,s:string>>").alias("out"))
+def _before(steps: Column, value, combine, zero: Column) -> Column:
+    """For each element the combination of `value` over all elements before it. An array that a fold carries is
+    copied at every step, so the fold runs within blocks, whose own totals are folded first."""
+    n = F.size(steps)
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+    part = lambda i: F.slice(steps, i * BLOCK + 1, F.lit(BLOCK))
 
-    def walk(acc, x):
-        at = acc["at"] + x["g"]
-        end = at + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(F.lit(number).alias("p"), at.alias("start"), end.alias("end"), x["m"].alias("s"))).alias("out"))
+    def fold(values: Column, start: Column, of) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, begin, lambda a, x: F.struct(combine(a["at"], of(x)).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
 
-    return F.aggregate(step, start, walk, lambda acc: acc["out"])
+    totals = F.transform(blocks, lambda i: F.aggregate(part(i), zero, lambda a, x: combine(a, value(x))))
+    inside = F.flatten(F.zip_with(fold(totals, zero, lambda x: x), blocks, lambda at, i: fold(part(i), at, value)))
+    return F.when(n == 0, F.array().cast("array<int>")).when(n <= BLOCK, fold(steps, zero, value)).otherwise(inside)
+
+
+def _spans(found: Column, gaps: Column, number: int) -> Column:
+    """array<struct<p, start, end, s, before, after>> of a pattern's matches, given those and the texts between
+    them: `before` has up to NEAR characters, `after` one. Nothing is looked up in the whole text."""
+    near = lambda x: F.substring(x, -NEAR, NEAR)
+    at = _before(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m)), lambda x: x, lambda a, x: a + x, F.lit(0))
+
+    def span(m, i):
+        gap, after = F.element_at(gaps, i + 1), F.element_at(gaps, i + 2)
+        left = F.when(i > 0, near(F.element_at(found, F.greatest(i, F.lit(1))))).otherwise(F.lit(""))
+        right = F.when(F.length(after) > 0, after).otherwise(F.coalesce(F.get(found, i + 1), F.lit("")))
+        return F.struct(F.lit(number).alias("p"), F.length(gap).alias("start"), F.length(m).alias("end"), m.alias("s"), near(F.concat(left, near(gap))).alias("before"), F.substring(right, 1, 1).alias("after"))
+
+    def place(x, t):
+        start = t + x["start"]
+        return F.struct(x["p"].alias("p"), start.alias("start"), (start + x["end"]).alias("end"), x["s"].alias("s"), x["before"].alias("before"), x["after"].alias("after"))
+
+    return F.zip_with(F.transform(found, span), at, place)
 
 
 def _digits(s: Column) -> Column:
@@ -93,16 +115,17 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """id_col and `found`: the candidates of every whole text, with their kind, whether they are base spans
     and their cell (votes, kind, form and length as one number)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = df.select(F.col(id_col), text.alias("__text"))
+    source = df.select(F.col(id_col).alias("__id"), text.alias("__text"))
     t = F.col("__text")
-    empty = F.array().cast("array<struct<p:int,start:int,end:int,s:string>>")
     digit = t.rlike("[0-9]")
-    arrays = []
+    names = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+")), "spelled": t.rlike(r"(?i)[\[(]at[\])]"), "secret": t.rlike("(?i)token|key|secret|passw")}
+    cut = []
     for i, (name, _, expression) in enumerate(PATTERNS):
-        spans = _spans(t, i, expression)
-        guard = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+")), "spelled": t.rlike(r"(?i)[\[(]at[\])]"), "secret": t.rlike("(?i)token|key|secret|passw")}.get(name, digit)
-        arrays.append(F.when(guard, spans).otherwise(empty))
-    found = source.withColumn("raw", F.concat(*arrays))
+        guard = names.get(name, digit)
+        cut.append(F.when(guard, F.regexp_extract_all(t, F.lit(expression), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"__f{i}"))
+        cut.append(F.when(guard, F.split(t, expression, -1)).otherwise(F.array().cast("array<string>")).alias(f"__g{i}"))
+    pieces = source.select("*", *cut)
+    found = pieces.select("__id", "__text", F.concat(*[_spans(F.col(f"__f{i}"), F.col(f"__g{i}"), i) for i in range(len(PATTERNS))]).alias("raw"))
     kinds = F.array(*[F.lit(KINDS.index(k)) for _, k, _ in PATTERNS])
 
     def judge(x):
@@ -110,8 +133,8 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         kind = F.element_at(kinds, p + 1)
         valid = _valid(p, s)
         n = F.length(_digits(s))
-        before = F.lower(F.substring(t, F.greatest(x["start"] + 1 - NEAR, F.lit(1)), F.least(x["start"], F.lit(NEAR))))
-        left, right = F.substring(before, -1, 1), F.substring(t, x["end"] + 1, 1)
+        before, right = F.lower(x["before"]), x["after"]
+        left = F.substring(before, -1, 1)
         domain = F.lower(F.regexp_extract(s, r"([A-Za-z0-9-]+)$", 1))
         digits = _digits(s)
         gazetteer = (
@@ -132,7 +155,7 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
             cell = cell * 3 + v + 1
         return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), valid.alias("base"), cell.cast("int").alias("cell"))
 
-    columns = [F.col(id_col), F.transform("raw", judge).alias("found")]
+    columns = [F.col("__id").alias(id_col), F.transform("raw", judge).alias("found")]
     return found.select(*columns, t.alias(text_col)) if keep_text else found.select(*columns)
 
 
@@ -210,23 +233,23 @@ def listed(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every column of the rows, with each span of the text replaced by its kind in brackets (of spans
-    that overlap, the first). Null texts stay null."""
+    """Every column of the rows, with each span of the text replaced by its kind in brackets. Spans that overlap
+    are replaced together, by the kind of the first. Null texts stay null."""
     columns = df.columns
     packed = df.select(F.struct(*columns).alias("__row"), F.col(text_col).alias("__body"))
     found = find(packed, "__row", "__body")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    t = F.col("__row")[text_col]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # `gone`: where the text already replaced before each span ends.
+    ends = found.select("__row", "spans", _before(F.col("spans"), lambda x: x["end"], lambda a, x: F.greatest(a, x), F.lit(0)).alias("gone"))
+    t, spans, gone = F.col("__row")[text_col], F.col("spans"), F.col("gone")
 
-    def walk(acc, x):
-        put = F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
-        fits = x["start"] >= acc["at"]
-        return F.struct(F.when(fits, x["end"]).otherwise(acc["at"]).alias("at"), F.when(fits, put).otherwise(acc["out"]).alias("out"))
+    def piece(x, at):
+        return F.when(x["start"] >= at, F.concat(F.substring(t, at + 1, x["start"] - at), F.element_at(names, x["kind"] + 1))).otherwise(F.lit(""))
 
-    masked = F.aggregate("spans", start, walk, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    new = F.when(t.isNull() | (F.size("spans") == 0), t).otherwise(masked)
-    return found.select(*[(new if c == text_col else F.col("__row")[c]).alias(c) for c in columns])
+    last = F.greatest(F.element_at(gone, -1), F.element_at(spans, -1)["end"])
+    masked = F.concat(F.array_join(F.zip_with(spans, gone, piece), ""), F.substring(t, last + 1, F.length(t)))
+    new = F.when(t.isNull() | (F.size(spans) == 0), t).otherwise(masked)
+    return ends.select(*[(new if c == text_col else F.col("__row")[c]).alias(c) for c in columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
