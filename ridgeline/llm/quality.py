@@ -11,8 +11,10 @@ strictest allowed one rejects. A stratum with too few labels gets no cutoff, onl
 
 The measurements of every whole text are one map; labels are joined to them, and only a histogram
 (strata x signals x bins) reaches the driver. Null texts have no words (and so fail the base rules). A
-document with several labels counts as good only if all say so; labels of unknown documents and null
-labels are left out; a null stratum is a stratum of its own. With no labels all cutoffs are open.
+document with several labels counts as good only if all say so, a repeated id as one document (the least of
+its rows' signals); labels of unknown documents and null ids or labels are left out; a null stratum is a
+stratum of its own. With no labels all cutoffs are open. Copies among the labelled documents are counted as
+independent trials, which the binomial bound takes them for.
 """
 
 from __future__ import annotations
@@ -104,12 +106,31 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
 
 def tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial: how likely so few false rejections were, if their true share were p."""
-    if p <= 0 or n <= 0:
+    """P(X <= k) of a binomial: how likely so few false rejections were, if their true share were p. It is the
+    regularised incomplete beta function of 1 - p with parameters n - k and k + 1, at any n."""
+    if p <= 0 or n <= 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    if p >= 1 or k < 0:
+        return 0.0
+    return incomplete_beta(n - k, k + 1, 1 - p)
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction on the side where that converges."""
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # Terms of the fraction in pairs; numerators and denominators are renewed from below and above.
+    above, below = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    value, m = below, 0
+    while True:
+        m += 1
+        before = value
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            below, above = 1 / ((1 + term * below) or 1e-300), (1 + term / above) or 1e-300
+            value *= below * above
+        if abs(value - before) <= 1e-15 * abs(value):
+            return min(1.0, front * value)
 
 
 def choose(good: np.ndarray, bad: np.ndarray, share: float, level: float, enough: float = 0.98) -> int | None:
@@ -130,7 +151,9 @@ def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col)).agg(F.min(label_col).alias("__good"))
     binned = measured.where(~base_failed()).select(F.col(id_col), stratum.alias("stratum"), F.array(*[f(F.col) for f in SIGNALS.values()]).alias("bins"))
-    counts = binned.join(known, id_col).select("stratum", "__good", F.posexplode("bins").alias("signal", "bin")).groupBy("stratum", "signal", "bin").agg(F.count(F.when(F.col("__good") > 0, 1)).alias("good"), F.count(F.when(F.col("__good") <= 0, 1)).alias("bad"))
+    # An id counts once, however many rows it has.
+    once = binned.join(known, id_col).groupBy(id_col).agg(F.min(F.struct("stratum", "bins", "__good")).alias("r")).select("r.*")
+    counts = once.select("stratum", "__good", F.posexplode("bins").alias("signal", "bin")).groupBy("stratum", "signal", "bin").agg(F.count(F.when(F.col("__good") > 0, 1)).alias("good"), F.count(F.when(F.col("__good") <= 0, 1)).alias("bad"))
     table_: dict[str, np.ndarray] = {}
     for r in counts.collect():
         table_.setdefault(r["stratum"], np.zeros((len(SIGNALS), BINS, 2), dtype=np.int64))[r["signal"], r["bin"]] = r["good"], r["bad"]
