@@ -5,10 +5,13 @@ each bit. A text's bits are decoded to the codeword of least loss, each bit weig
 its classifier was in training; a winner that is hardly better than the runner-up is flagged.
 
 The classifiers are fitted on a bounded sample of labelled rows (`per_language` of each language,
-chosen by a hash of the id), the driver holds only those rows' features. Every row is then predicted
+chosen by a hash of the id), the driver holds only those rows' features; the number of languages is not
+limited. Every row is then predicted
 from its whole text in one map without a shuffle. A text that is null or has no letter gets `und`
-with score 0, and so does every text when no row is labelled. Label, source and id never enter a
-prediction; ids that repeat are predicted one by one.
+with score 0, and so does every text when no row is labelled. Of languages that are equally near the first
+in order of name wins, and the text is flagged as ambiguous. Label, source and id never enter a
+prediction; ids that repeat are predicted one by one, a null id like any other. Texts of any length are
+counted whole, a megabyte at a time.
 """
 
 from __future__ import annotations
@@ -27,19 +30,40 @@ from ridgeline.llm.common import held_out, slices, struct, table
 
 #: Hashed features of a text, and how many texts are turned into features at once.
 WIDTH, ROWS = 2048, 512
-#: More labels than this are taken for a mistake in the column's choice.
-MOST_LABELS = 512
+#: Bytes of text that are turned into n-grams at a time.
+PIECE = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are not letters count as one blank.
-FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint64)
+FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint8)
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """A row for each text: square roots of the hashed n-gram counts (n = 1 to 3), scaled to length 1."""
+    """A row for each text: square roots of the hashed n-gram counts (n = 1 to 3), scaled to length 1. Texts are
+    counted a piece at a time, so memory doesn't grow with a text's length."""
+    out = np.zeros((len(texts), WIDTH))
+    at, n = 0, len(texts)
+    while at < n:
+        end, held = at, 0
+        while end < n and held + len(texts[end]) <= PIECE:
+            held += len(texts[end])
+            end += 1
+        if end > at:
+            _count(texts[at:end], out[at:end])
+        else:
+            # A longer text, in pieces that run on by two bytes; an n-gram counts where it begins.
+            text, end = texts[at], at + 1
+            for a in range(0, len(text), PIECE):
+                _count([text[a : a + PIECE + 2]], out[at:end], PIECE)
+        at = end
+    x = np.sqrt(out)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def _count(texts: list[bytes], out: np.ndarray, begins: int | None = None) -> None:
+    """Adds the n-grams that begin in the first `begins` bytes (of a single text) to the texts' rows."""
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    out = np.zeros(len(texts) * WIDTH)
     a = FOLD[np.frombuffer(b"".join(texts), dtype=np.uint8)]
-    owner = np.repeat(np.arange(len(texts)), lengths)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     code = np.zeros(len(a), dtype=np.uint64)
     for n in range(1, 4):
         m = len(a) - n + 1
@@ -48,9 +72,14 @@ def features(texts: list[bytes]) -> np.ndarray:
         code = code[:m] << np.uint64(8) | a[n - 1 :]
         slot = ((code * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(53)).astype(np.int64)
         inside = owner[:m] == owner[n - 1 :]
-        out += np.bincount((owner[:m] * WIDTH + slot)[inside], minlength=len(out))
-    x = np.sqrt(out.reshape(len(texts), WIDTH))
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        if begins is not None:
+            inside[begins:] = False
+        out += np.bincount((owner[:m] * WIDTH + slot)[inside], minlength=out.size).reshape(out.shape)
+
+
+def lowered(text: str) -> bytes:
+    """A text as it is learned from and as it is predicted."""
+    return text.lower().encode("utf-8", "surrogatepass")
 
 
 def codewords(k: int) -> np.ndarray:
@@ -62,8 +91,11 @@ def codewords(k: int) -> np.ndarray:
         bits = [[1] + [1 - 2 * (c >> i & 1) for i in range(k - 1)] for c in range(1, 1 << (k - 1))]
         return np.array(bits, dtype=float).T
     rng, length = np.random.default_rng(k), 10 * int(np.ceil(np.log2(k)))
+    if k > 2000:
+        # Random words of this length differ in a third of their bits and more; all pairs are too many to look at.
+        return rng.choice([-1.0, 1.0], (k, length))
     best, most = None, -1.0
-    for _ in range(200):
+    for _ in range(200 if k <= 500 else 20):
         code = rng.choice([-1.0, 1.0], (k, length))
         if (np.abs(code.sum(axis=0)) == k).any():
             continue
@@ -85,7 +117,8 @@ class Model:
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each row: the label's number, its score, and the runner-up's score."""
         margins = x @ self.weights + self.bias
-        losses = np.stack([(np.logaddexp(0, -margins * c) * self.trust).sum(axis=1) for c in self.code], axis=1)
+        # A bit's loss where the codeword has +1 and where it has -1, weighted by the bit's reliability.
+        losses = (np.logaddexp(0, -margins) * self.trust) @ (self.code > 0).T + (np.logaddexp(0, margins) * self.trust) @ (self.code < 0).T
         p = np.exp(losses.min(axis=1, keepdims=True) - losses)
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -117,34 +150,29 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     """Learns from rows with a label. `per_language` bounds the sample of each language; all rows are
     used where there are fewer."""
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col).cast("string")).alias("order"), F.col(text_col).cast("string").alias("text"))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(MOST_LABELS + 1).collect()}
-    if len(sizes) > MOST_LABELS:
-        raise ValueError(f"{label_col} has more than {MOST_LABELS} values")
-    if not sizes:
-        return None
+    sizes = rows.groupBy("label").count()
     part = F.pmod(F.col("order"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for label, n in sizes.items():
-        # Half as many again as wanted, so that chance leaves enough.
-        chosen = chosen | ((F.col("label") == label) & (part < int(1_000_000 * min(1.0, 1.5 * per_language / n)) + 1))
+    # Half as many again as wanted, so that chance leaves enough.
+    chosen = part < F.floor(1_000_000 * F.least(F.lit(1.0), 1.5 * per_language / F.col("count"))) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
             for at in range(0, b.num_rows, ROWS):
                 s = b.slice(at, ROWS)
-                x = features(s.column(2).cast(pa.binary()).to_pylist()).astype(np.float16)
+                x = features([lowered(t) for t in s.column(2).to_pylist()]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "order", "x"])
 
-    lowered = rows.where(chosen).select("label", "order", F.lower("text").alias("text"))
-    got = lowered.mapInArrow(run, struct(("label", T.StringType()), ("order", T.LongType()), ("x", T.BinaryType()))).collect()
+    sample = rows.join(sizes, "label").where(chosen).select("label", "order", "text")
+    got = sample.mapInArrow(run, struct(("label", T.StringType()), ("order", T.LongType()), ("x", T.BinaryType()))).collect()
     got.sort(key=lambda r: (r["label"], r["order"]))
     taken: dict[str, int] = {}
     kept = [r for r in got if (taken.update({r["label"]: taken.get(r["label"], 0) + 1}) or taken[r["label"]]) <= per_language]
     labels = sorted({r["label"] for r in kept})
     if not labels:
         return None
+    number = {label: i for i, label in enumerate(labels)}
     x = np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in kept]).astype(np.float64)
-    return train(x, np.array([labels.index(r["label"]) for r in kept]), labels)
+    return train(x, np.array([number[r["label"]] for r in kept]), labels)
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", least_gap: float = 0.1, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -159,7 +187,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 lang, score, doubt = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
                 some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
                 if some and model is not None:
-                    best, top, second = model.predict(features([texts[i].lower().encode("utf-8", "surrogatepass") for i in some]))
+                    best, top, second = model.predict(features([lowered(texts[i]) for i in some]))
                     for i, k in zip(some, best.tolist(), strict=True):
                         lang[i] = model.labels[k]
                     score[some], doubt[some] = top, top - second < least_gap
