@@ -35,8 +35,11 @@ from ridgeline.llm.common import slices, struct, table
 
 # Fixed lists of tags by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+#: Elements whose text is none of the page's; of these, those that without an end tag take the rest of the page.
+RAW = frozenset("script style textarea title iframe template select".split())
+TO_THE_END = frozenset("script style textarea title".split())
+#: Elements within a line of text. Formulas, drawings and what stands in for an object or a script are such.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object noscript math annotation mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics svg circle defs desc g line path polygon rect text tspan use".split())
 GROUPS = {
     "main": "article main", "nav": "nav menu", "top": "header hgroup", "foot": "footer", "aside": "aside", "form": "form fieldset button dialog",
     "text": "p", "title": "h1 h2 h3 h4 h5 h6", "list": "ul ol dl li dt dd", "box": "div section center", "cell": "table thead tbody tfoot tr td th caption",
@@ -66,6 +69,8 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the node that holds their text
+        # How many of each kind are open at most, so that an end tag without a start is not looked for.
+        count: dict[str, int] = {}
         block, at, link_depth = 0, 0, 0
         n, search = len(source), MARKUP.search
         while at <= n:
@@ -86,10 +91,10 @@ class Page:
             if closing:
                 if name not in INLINE:
                     block += 1
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if count.get(name) else ():
                     if stack[i][0] == name:
                         link_depth -= sum(1 for t, _ in stack[i:] if t == "a")
-                        del stack[i:]
+                        self._cut(stack, i, count)
                         break
                     if name in INLINE and stack[i][0] not in INLINE:
                         break  # a stray end of an inline element does not close blocks
@@ -102,7 +107,7 @@ class Page:
                         found = found or re.compile(r"(?=<body\b)", re.I).search(source, at)
                     if found:
                         at = found.end()
-                    elif name != "head":
+                    elif name in TO_THE_END:
                         at = n + 1
                 continue
             if name in VOID:
@@ -111,12 +116,12 @@ class Page:
                 continue
             if name not in INLINE:
                 block += 1
-                if name in ("html", "body") and any(t == name for t, _ in stack[1:]):
+                if name in ("html", "body") and count.get(name):
                     continue
-                self._close_for(name, stack)
+                self._close_for(name, stack, count)
                 # Inline elements that are open here end with the block that they stand in.
                 while len(stack) > 1 and stack[-1][0] in INLINE:
-                    stack.pop()
+                    self._cut(stack, len(stack) - 1, count)
                 link_depth = 0
                 words = self._attributes(rest)
             else:
@@ -124,32 +129,37 @@ class Page:
                 words = self._attributes(rest) if "=" in rest else ()
                 if not words:
                     stack.append((name, stack[-1][1]))
+                    count[name] = count.get(name, 0) + 1
                     continue
-            if len(stack) < 500:
-                self.tags.append(name)
-                self.parents.append(stack[-1][1])
-                self.words.append(words)
-                self.lengths.append(0)
-                self.links.append(0)
-                self.stops.append(0)
-                stack.append((name, len(self.tags) - 1))
-            else:
-                stack[-1] = (name, stack[-1][1])
+            self.tags.append(name)
+            self.parents.append(stack[-1][1])
+            self.words.append(words)
+            self.lengths.append(0)
+            self.links.append(0)
+            self.stops.append(0)
+            stack.append((name, len(self.tags) - 1))
+            count[name] = count.get(name, 0) + 1
 
     @staticmethod
-    def _close_for(name: str, stack: list[tuple[str, int]]) -> None:
+    def _cut(stack: list[tuple[str, int]], at: int, count: dict[str, int]) -> None:
+        for name, _ in stack[at:]:
+            count[name] -= 1
+        del stack[at:]
+
+    @classmethod
+    def _close_for(cls, name: str, stack: list[tuple[str, int]], count: dict[str, int]) -> None:
         """Closes what the start of a block element ends: an open paragraph, an item of the same list."""
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == "p":
-                del stack[i:]
+                cls._cut(stack, i, count)
                 break
             if stack[i][0] not in INLINE:
                 break
         if name in CLOSES:
             same, within = CLOSES[name]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(count.get(t) for t in same.split()) else ():
                 if stack[i][0] in same.split():
-                    del stack[i:]
+                    cls._cut(stack, i, count)
                     break
                 if stack[i][0] in within:
                     break
