@@ -13,11 +13,12 @@ All counts come from all training texts:
   from each depth they are summed again to the one above; every depth is a table of its own, sorted by
   context, over which weights are computed in numpy runs. Nothing of it is collected;
 * mixed probabilities flow down from the root by joins on the shorter context;
-* where the tree's deepest table has at most `SMALL_TREE` rows workers hold it and look up every byte of
-  every text; beyond that, the keys of each text are joined with it. Both give the same.
+* workers hold the most frequent rows of the deepest table (at most `HELD`), and look up every byte of every
+  text there; what they don't hold is joined, summed by text, with the rest of the table.
 
-Texts' words are looked up in the same pass: the most frequent words (at most `HEAD`, of bounded length)
-in a broadcast table, all others are sent, summed by document, to their word's partition.
+Texts' words are looked up in the same pass: the most frequent words (at most `HEAD`) in a broadcast table,
+longer ones by a digest; all others are sent, summed by document, to their word's partition. So no key that
+is joined is one that very many texts share.
 
 A null or empty text has one token, its end. Rows that repeat, id and text, come back as often. A null
 id counts as training. Columns other than id and text are not read. Without training rows every
@@ -26,6 +27,7 @@ estimate is that of an empty tree.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -37,13 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import held_out, materialize, slices, struct, table
+from ridgeline.llm.common import discard, held_out, materialize, slices, struct, table
 
 DEPTH = 6
-#: Words that are broadcast, and their greatest length; distinct words counted before they are passed on.
+#: Words that are broadcast, the length from which a digest stands for them, and distinct words counted before
+#: they are passed on.
 HEAD, HEAD_BYTES, COUNTED = 131_072, 64, 150_000
-#: Rows of the deepest table, 16 to 20 bytes each, up to which workers hold it.
-SMALL_TREE = 12_000_000
+#: Rows of the deepest table that workers hold, 16 to 20 bytes each.
+HELD = 6_000_000
 #: Bytes of text counted and looked up at a time, and rows of sums that a task holds before they are passed on.
 COUNT_BYTES, LOOK_BYTES, SUMMED = 4 << 20, 1 << 20, 4_000_000
 #: The closing byte, without a blank after it; no word holds it.
@@ -229,7 +232,8 @@ def shorter(key, depth: int):
 
 
 def tree(deepest: DataFrame) -> DataFrame:
-    """key, score: log10 of the mixed probability of each byte after each deepest context."""
+    """key, score, times: log10 of the mixed probability of each byte after each deepest context, and how often
+    the training texts have it."""
     levels = {DEPTH: materialize(level(deepest, True), "level")}
     for d in range(DEPTH - 1, -1, -1):
         up = levels[d + 1].groupBy(shorter(F.col("key"), d).alias("key")).agg(F.sum("times").alias("times"), *[F.sum(b).alias(s) for b, s in zip(BLOCK, BELOW, strict=True)])
@@ -237,12 +241,14 @@ def tree(deepest: DataFrame) -> DataFrame:
     mixed = levels[0].select("key", *[(F.col(w) * F.col(e)).alias(f"p{k}") for k, (w, e) in enumerate(zip(WEIGHT, KT, strict=True))], *[(1 - F.col(w)).alias(f"r{k}") for k, w in enumerate(WEIGHT)])
     for d in range(1, DEPTH + 1):
         above = mixed.withColumnRenamed("key", "up")
-        own = levels[d].select("key", *KT, *WEIGHT).withColumn("up", shorter(F.col("key"), d - 1))
+        own = levels[d].select("key", "times", *KT, *WEIGHT).withColumn("up", shorter(F.col("key"), d - 1))
         # The tables of contexts of no or one byte have 256 and 65,536 rows at most.
         joined = own.join(F.broadcast(above) if d <= 2 else above, "up")
-        mixed = joined.select("key", *[(F.col(f"p{k}") + F.col(f"r{k}") * F.col(WEIGHT[k]) * F.col(KT[k])).alias(f"p{k}") for k in BITS], *[(F.col(f"r{k}") * (1 - F.col(WEIGHT[k]))).alias(f"r{k}") for k in BITS])
+        mixed = joined.select("key", *(["times"] if d == DEPTH else []), *[(F.col(f"p{k}") + F.col(f"r{k}") * F.col(WEIGHT[k]) * F.col(KT[k])).alias(f"p{k}") for k in BITS], *[(F.col(f"r{k}") * (1 - F.col(WEIGHT[k]))).alias(f"r{k}") for k in BITS])
     score = sum((F.log10(f"p{k}") for k in BITS), F.lit(0.0))
-    return materialize(mixed.select("key", score.alias("score")), "tree")
+    found = materialize(mixed.select("key", score.alias("score"), "times"), "tree")
+    discard(*levels.values())
+    return found
 
 
 #: An odd number; times it, modulo 2 ** 64, is a permutation that spreads keys over the high bits.
@@ -254,49 +260,66 @@ def mix(key: np.ndarray) -> np.ndarray:
 
 
 class Held:
-    """The deepest table in memory: mixed keys in order, and where each value of their first bits starts."""
+    """Rows of the deepest table in memory: mixed keys in order, and where each value of their first bits starts."""
 
     def __init__(self, mixed: np.ndarray, score: np.ndarray):
-        self.mixed, self.score = mixed, score
+        # A last row that no key is below ends every search.
+        self.mixed, self.score = np.append(mixed, np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(score, np.nan)
         self.shift = np.uint64(64 - max(1, len(mixed).bit_length() - 1))
         sizes = np.bincount((mixed >> self.shift).view(np.int64), minlength=1 << (64 - int(self.shift)))
         self.start = (np.cumsum(sizes) - sizes).astype(np.int32)
 
     def of(self, key: np.ndarray) -> np.ndarray:
-        """The scores of keys, all of which are in the table."""
+        """The scores of keys; NaN for those that are not held."""
         mixed = mix(key)
         at = self.start[(mixed >> self.shift).view(np.int64)]
-        left = np.flatnonzero(self.mixed[at] != mixed)
+        got = self.mixed[at]
+        left = np.flatnonzero(got < mixed)
         while len(left):
             at[left] += 1
-            left = left[self.mixed[at[left]] != mixed[left]]
-        return self.score[at]
+            next_ = self.mixed[at[left]]
+            got[left] = next_
+            left = left[next_ < mixed[left]]
+        found = self.score[at]
+        if (other := got != mixed).any():
+            found[other] = np.nan
+        return found
+
+
+def held_rows(scored: DataFrame, most: int) -> tuple[DataFrame, int, int]:
+    """The most frequent rows, as many whole steps of frequency as fit in `most`, their number, and that of all."""
+    step = F.floor(F.log2(F.col("times") + 1.0) * 64)
+    least, held, total = None, 0, 0
+    for r in scored.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        if held == total and held + r["count"] <= most:
+            least, held = r["step"], held + r["count"]
+        total += r["count"]
+    return scored.where(step >= least if least is not None else F.lit(False)), held, total
 
 
-def held_tree(scored: DataFrame, small: int | None = None) -> Held | None:
-    """The deepest table, where it is small enough for workers to hold it; it comes in sixteen pieces, so
-    that the driver has little besides it."""
-    rows = scored.count()
-    if rows > (SMALL_TREE if small is None else small):
-        return None
+def held_tree(rows: DataFrame, n: int) -> Held:
+    """The n rows in the driver's memory, for workers to hold; they come in sixteen pieces, so that the driver
+    has little besides them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy()).view(np.int64)), b.column(1)], ["mixed", "score"])
 
-    table_ = materialize(scored.select("key", "score").mapInArrow(run, struct(("mixed", T.LongType()), ("score", T.DoubleType()))), "held-tree")
-    mixed, score, n = np.zeros(rows, np.uint64), np.zeros(rows), 0
+    table_ = materialize(rows.select("key", "score").mapInArrow(run, struct(("mixed", T.LongType()), ("score", T.DoubleType()))), "held-tree")
+    mixed, score, at = np.zeros(n, np.uint64), np.zeros(n), 0
     for k in range(16):
         got = table_.where(F.shiftrightunsigned("mixed", 60) == k).toArrow()
         key = got.column("mixed").to_numpy().view(np.uint64)
         order = np.argsort(key)
-        mixed[n : n + len(key)], score[n : n + len(key)] = key[order], got.column("score").to_numpy()[order]
-        n += len(key)
+        mixed[at : at + len(key)], score[at : at + len(key)] = key[order], got.column("score").to_numpy()[order]
+        at += len(key)
+    discard(table_)
     return Held(mixed, score)
 
 
-def text_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, key, times_here: what each text looks up in the deepest table."""
+def text_keys(docs: DataFrame, held) -> DataFrame:
+    """doc_id, digest, key, times_here: what each text looks up in the deepest table and workers do not hold
+    (`held`: a broadcast Held)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, LOOK_BYTES):
@@ -304,6 +327,8 @@ def text_keys(docs: DataFrame) -> DataFrame:
             digest = pa.array([digest_of(x) for x in texts], pa.int64())
             for i, text in enumerate(texts):
                 key, times = np.unique(unroll([normal(text)])[0], return_counts=True)
+                rest = np.isnan(held.value.of(key))
+                key, times = key[rest], times[rest]
                 place = pa.array(np.full(len(key), i))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(place), digest.take(place), pa.array(key), pa.array(times)], ["doc_id", "digest", "key", "times_here"])
 
@@ -324,9 +349,15 @@ def train(docs: DataFrame, parts: int, part: int) -> tuple[DataFrame, DataFrame]
     return materialize(count_words(docs, parts, part), "words"), tree(text_grams(docs, parts, part))
 
 
+def name_of(word: bytes) -> bytes:
+    """What a word is looked up by."""
+    return word if len(word) <= HEAD_BYTES else hashlib.sha256(word).digest() * 3
+
+
 def head_of(words: DataFrame) -> dict[bytes, int]:
-    """The most frequent words: as many whole steps of frequency as fit in HEAD."""
-    short = words.where(F.length("word") <= HEAD_BYTES)
+    """The most frequent words by their names: as many whole steps of frequency as fit in HEAD."""
+    long = F.unhex(F.repeat(F.sha2("word", 256), 3))
+    short = words.select(F.when(F.length("word") <= HEAD_BYTES, F.col("word")).otherwise(long).alias("word"), "times", "seen")
     step = F.floor(F.log2("seen") * 16)
     least, total = None, 0
     for r in short.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
@@ -339,7 +370,7 @@ def head_of(words: DataFrame) -> dict[bytes, int]:
     return {bytes(r["word"]): r["times"] for r in short.where(step >= least).select("word", "times").collect()}
 
 
-def score(docs: DataFrame, parts: int = 7, part: int = 2, small: int | None = None) -> DataFrame:
+def score(docs: DataFrame, parts: int = 7, part: int = 2, held_most: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every text.
     Texts whose id's crc32 leaves `part` when divided by `parts` are held out of training."""
     words, scored = train(docs, parts, part)
@@ -348,8 +379,8 @@ def score(docs: DataFrame, parts: int = 7, part: int = 2, small: int | None = No
     unit = float(np.log10(n + v + 1))
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(head_of(words))
-    tree_ = held_tree(scored, small)
-    whole = tree_ is not None
+    rows_, n_held, n_rows = held_rows(scored, HELD if held_most is None else held_most)
+    tree_ = held_tree(rows_, n_held)
     held = spark.sparkContext.broadcast(tree_)
     del tree_
 
@@ -366,16 +397,15 @@ def score(docs: DataFrame, parts: int = 7, part: int = 2, small: int | None = No
             coded, flat, m = [b" ".join(x) for x in tokens], [*chain.from_iterable(tokens)], len(texts)
             tokens_ = np.array([len(x) for x in tokens], dtype=np.int64)
             begin = np.cumsum(tokens_) - tokens_
-            found = np.fromiter(map(at.get, flat, repeat(-1)), np.int64, len(flat))
+            named = flat if max(map(len, flat)) <= HEAD_BYTES else map(name_of, flat)
+            found = np.fromiter(map(at.get, named, repeat(-1)), np.int64, len(flat))
             known_, base_ = np.add.reduceat(known[found], begin), np.add.reduceat(base[found], begin)
             some = np.flatnonzero(found < 0)
             owner = np.searchsorted(begin, some, side="right") - 1
             others = Counter(zip(owner.tolist(), [flat[k] for k in some.tolist()], strict=True))
             rows, word, count = [i for i, _ in others], [w for _, w in others], [*others.values()]
-            own_ = [0.0] * m
-            if whole:
-                key, sizes = unroll(coded)
-                own_ = np.add.reduceat(held.value.of(key), np.cumsum(sizes) - sizes).tolist()
+            key, sizes = unroll(coded)
+            own_ = np.add.reduceat(np.nan_to_num(held.value.of(key)), np.cumsum(sizes) - sizes).tolist()
             size_ = [len(x) for x in coded]
             take = pa.array([*range(m), *rows], pa.int32())
             zero = [0] * len(rows)
@@ -392,8 +422,8 @@ def score(docs: DataFrame, parts: int = 7, part: int = 2, small: int | None = No
     rare = rare.select("doc_id", "digest", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("times") > 0, here).otherwise(F.lit(0)).cast("long").alias("n_known"), (here * F.log10(F.col("times") + 1.0)).alias("base"), F.lit(0.0).alias("own"), F.lit(0).cast("long").alias("size"))
     common = parts_.where("word is null").select("doc_id", "digest", F.lit(1).cast("long").alias("copies"), "n_tokens", "n_known", "base", "own", "size")
     every = common.unionByName(rare)
-    if not whole:
-        found = text_keys(docs).join(scored, "key").groupBy("doc_id", "digest").agg(F.sum(here * F.col("score")).alias("own"))
+    if n_held < n_rows:
+        found = text_keys(docs, held).join(scored.select("key", "score"), "key").groupBy("doc_id", "digest").agg(F.sum(here * F.col("score")).alias("own"))
         none = F.lit(0).cast("long")
         every = every.unionByName(found.select("doc_id", "digest", *[none.alias(c) for c in ("copies", "n_tokens", "n_known")], F.lit(0.0).alias("base"), "own", none.alias("size")))
     both = every.groupBy("doc_id", "digest").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "own", "size")])

@@ -161,7 +161,7 @@ def test_tree_probabilities_add_up():
 def test_scoring_without_a_held_table(spark, docs):
     few = docs.where("doc_id < 40")
     a = {r.doc_id: r.score for r in scoring.score(few).collect()}
-    b = {r.doc_id: r.score for r in scoring.score(few, small=0).collect()}
+    b = {r.doc_id: r.score for r in scoring.score(few, held_most=0).collect()}
     assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i]) for i in a)
     assert scoring.score(docs.where("doc_id < 0")).count() == 0
 
@@ -172,8 +172,8 @@ def test_scoring_sees_past_words(spark):
     train = [i for i in range(200) if not brute.held(i, 7, 2)]
     held = [i for i in range(200) if brute.held(i, 7, 2)]
     rows = [(i, text) for i in train[:20]] + [(held[0], text), (held[1], shuffled)]
-    for small in (None, 0):
-        found = {r.doc_id: r.score for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), small=small).collect()}
+    for most in (None, 0, 500):
+        found = {r.doc_id: r.score for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), held_most=most).collect()}
         assert found[held[0]] == pytest.approx(found[train[0]])
         assert found[held[0]] > found[held[1]] + 10
     # The score of a text is the sum over its bytes after the bytes before them, across words.
@@ -267,7 +267,7 @@ def test_plans_cover_exactly(seed):
             packed[n] += a * m
     assert (packed == counts).all()
     used, least = sum(m for _, m in chosen), int((counts * np.arange(201)).sum() / 200)
-    plain = sum(packing.best_fit(counts).values())
+    plain = sum(brute.best_fit(counts))
     assert least <= used and bound <= used + 1e-6 and used <= 1.002 * plain
     few = np.bincount([3, 3, 4, 6, 2, 10], minlength=11)
     assert sum(m for _, m in packing.plan(few)[0]) == 3 and packing.plan(few * 0)[0] == []
