@@ -2,23 +2,38 @@
 near-duplicate removal, masking of personal data, packing.
 
 Every stage works on all rows that the one before kept. All but the last return the columns of
-`documents`; the last returns the pieces of the packed sequences.
+`documents`, whatever further columns there are and whatever their names; the last returns the pieces of the
+packed sequences. What each stage does with unusual rows:
+
+* null or empty texts have no words: the quality rules reject them. The other stages, run alone, leave them:
+  language identification rejects them (no letter), near-duplicate removal keeps each, masking leaves null null
+  and empty empty, packing gives each one piece with the closing id;
+* texts of any length are read whole;
+* a null id is no reason to go: quality and language look at the text alone, near-duplicate removal compares
+  such rows like all others and prefers rows with an id to stay, packing returns the piece with a null id;
+* rows that repeat, id and text, are copies: one stays. An id with different texts is one document to the
+  near-duplicate stage, of which one row stays: the one whose text comes first by its hash;
+* ties (copies) go to the smallest id; empty tables give empty tables; columns `lang` and `n_chars` may be
+  missing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm import language_id, near_dup, packing, pii, quality
 from ridgeline.llm.common import held_out, materialize, table
 
 ROW = "__row"
+#: Ids of rows without one, in the near-duplicate stage: above all others, so that these rows give way.
+NO_ID = 1 << 62
 
 
 def _whole(docs: DataFrame) -> DataFrame:
     """Each row with all its columns packed in one, beside those that a stage reads."""
-    return docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias(ROW))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    return docs.select("doc_id", "text", lang, F.struct(*docs.columns).alias(ROW))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,21 +45,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those whose codeword is as near to another language's, go."""
-    model = language_id.fit(docs.where(~held_out(F.col("doc_id"), 5, 0)))
-    found = language_id.predict(_whole(docs), model, keep=(ROW,))
+    whole = _whole(docs)
+    model = language_id.fit(whole.drop(ROW).where(~held_out(F.col("doc_id"), 5, 0)))
+    found = language_id.predict(whole, model, keep=(ROW,))
     return found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(f"{ROW}.*")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each group."""
-    kept = near_dup.group(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group stays: that of the smallest id."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID)))
+    whole = docs.select(number.alias("__id"), F.col("text").alias("__text"), F.struct(*docs.columns).alias(ROW))
+    found = materialize(near_dup.group(whole, "__id", "__text").where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("rows")), "survivors")
+    once = whole.join(found.where("rows = 1"), "__id", "left_semi")
+    first = Window.partitionBy("__id").orderBy(F.xxhash64("__text"), F.xxhash64(ROW))
+    again = whole.join(found.where("rows > 1"), "__id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return once.select(f"{ROW}.*").unionByName(again.select(f"{ROW}.*"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows the new text."""
     masked = pii.redact(docs)
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +83,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The stages learn from data and search for groups, which SQL doesn't express; tests/llm compares them
-#: with plain versions.
+#: The stages learn from data and search for groups, which SQL doesn't express; tests/llm compares the rows of
+#: run() with those of plain versions, chained.
 ORACLE_SQL = None
 
 
