@@ -132,19 +132,15 @@ class Recent(dict):
             self.clear()
         self[key] = value
 
-
     def learn(self, keys: set, make_all) -> None:
         """Puts all the keys in, those unknown with make_all's values; all are there until the next call."""
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        old, missing = self.old, []
-        for k in [k for k in keys if k not in self]:
-            if (value := old.get(k)) is None:
-                missing.append(k)
-            else:
-                self[k] = value
-        if missing:
+        new = keys.difference(self)
+        known = list(new.intersection(self.old))
+        self.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        if missing := list(new.difference(known)):
             self.update(zip(missing, make_all(missing), strict=True))
 
 

@@ -22,6 +22,8 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from ridgeline.llm import vocab
 from ridgeline.llm.common import Recent, materialize, slices, struct, table
 
-CHUNKS, WORDS = 350_000, 200_000
+CHUNKS, WORDS = 450_000, 250_000
 CAPACITY = 2048
 #: Rounds of pricing: in inverse proportion to the knapsack's items, within limits.
 WORK, LEAST_ROUNDS, MOST_ROUNDS = 60_000, 20, 600
@@ -63,10 +65,14 @@ class IdBytes:
         return [b"".join([chunks[c] for c in s]) for s in split]
 
     def _chunks(self, chunks: list[bytes]) -> list[bytes]:
-        pieces = [self.vocabulary.pieces(c) for c in chunks]
-        words = self.words
-        words.learn({p for ps in pieces for p in ps if type(p) is bytes}, self._words)
-        return [words[ps[0]] if len(ps) == 1 and type(ps[0]) is bytes else b"".join([p.to_bytes(4, "little") if type(p) is int else words[p] for p in ps]) for ps in pieces]
+        """A chunk of letters alone is one word; only others are cut into pieces."""
+        words, pieces = self.words, self.vocabulary.pieces
+        plain = [c.isalpha() for c in chunks] if self.vocabulary.simple else [False] * len(chunks)
+        lowered = b" ".join(chunks).lower().split(b" ")
+        cut = {c: pieces(c) for c in compress(chunks, map(not_, plain))}
+        words.learn({*compress(lowered, plain), *(p for ps in cut.values() for p in ps if type(p) is bytes)}, self._words)
+        join = lambda ps: b"".join([p.to_bytes(4, "little") if type(p) is int else words[p] for p in ps])
+        return [words[w] if alone else join(cut[c]) for c, w, alone in zip(chunks, lowered, plain, strict=True)]
 
     def _words(self, words: list[bytes]) -> list[bytes]:
         found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
