@@ -34,10 +34,10 @@ from pyspark.sql import types as T
 from ridgeline.llm import vocab
 from ridgeline.llm.common import Recent, materialize, slices, struct, table
 
-CHUNKS, WORDS = 450_000, 250_000
+CHUNKS, WORDS = 200_000, 400_000
 CAPACITY = 2048
 #: Rounds of pricing: in inverse proportion to the knapsack's items, within limits.
-WORK, LEAST_ROUNDS, MOST_ROUNDS = 60_000, 20, 600
+WORK, LEAST_ROUNDS, MOST_ROUNDS = 45_000, 14, 600
 #: Share of the volume that whole parts of multiples must place, for fractions to be left to the next solution.
 SHARE = 0.2
 #: How fast prices fall with coverage, how far coverage goes (loose, level), how near the best a configuration must be, how far a
@@ -47,7 +47,7 @@ STEEP, COVER, NEAR, AHEAD, GOOD = 1.5, (24.0, 4.0), 0.99, 0.5, 1.002
 
 class IdBytes:
     """Token ids of texts as the tokenizer library gives them, as little-endian unsigned 32-bit numbers.
-    The library encodes each new word once; a text's chunks are then looked up."""
+    The library encodes each new word once; a text's words are then looked up."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,10 +59,18 @@ class IdBytes:
         self.chunks, self.words = Recent(None, CHUNKS), Recent(None, WORDS)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        chunks = self.chunks
-        chunks.learn(set().union(*split), self._chunks)
-        return [b"".join([chunks[c] for c in s]) for s in split]
+        words = self.words
+        tokens = [self.vocabulary.tokens(t) for t in texts]
+        words.learn(set().union(*filter(None, tokens)), self._words)
+        # Few texts need more than that: theirs are looked up by what stands between blanks.
+        rest = [t.split() for t, found in zip(texts, tokens, strict=True) if found is None]
+        out = [None if found is None else b"".join([words[w] for w in found]) for found in tokens]
+        if rest:
+            chunks = self.chunks
+            chunks.learn(set().union(*rest), self._chunks)
+            others = iter(rest)
+            out = [b"".join([chunks[c] for c in next(others)]) if ids is None else ids for ids in out]
+        return out
 
     def _chunks(self, chunks: list[bytes]) -> list[bytes]:
         """A chunk of letters alone is one word; only others are cut into pieces."""
