@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import filterfalse
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -137,10 +138,12 @@ class Recent(dict):
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        new = keys.difference(self)
-        known = list(new.intersection(self.old))
-        self.update(zip(known, map(self.old.__getitem__, known), strict=True))
-        if missing := list(new.difference(known)):
+        new = list(filterfalse(self.__contains__, keys))
+        old = self.old
+        known = list(filter(old.__contains__, new))
+        self.update(zip(known, map(old.__getitem__, known), strict=True))
+        if len(known) < len(new):
+            missing = list(filterfalse(old.__contains__, new))
             self.update(zip(missing, make_all(missing), strict=True))
 
 

@@ -36,8 +36,8 @@ from ridgeline.llm.common import Recent, materialize, slices, struct, table
 
 CHUNKS, WORDS = 200_000, 400_000
 CAPACITY = 2048
-#: Rounds of pricing: in inverse proportion to the knapsack's items, within limits.
-WORK, LEAST_ROUNDS, MOST_ROUNDS = 45_000, 14, 600
+#: Rounds of pricing: in inverse proportion to the knapsack's items, within limits (the upper ones loose, level).
+WORK, LEAST_ROUNDS, MOST_ROUNDS = 45_000, 14, (600, 100)
 #: Share of the volume that whole parts of multiples must place, for fractions to be left to the next solution.
 SHARE = 0.2
 #: How fast prices fall with coverage, how far coverage goes (loose, level), how near the best a configuration must be, how far a
@@ -64,7 +64,8 @@ class IdBytes:
         words.learn(set().union(*filter(None, tokens)), self._words)
         # Few texts need more than that: theirs are looked up by what stands between blanks.
         rest = [t.split() for t, found in zip(texts, tokens, strict=True) if found is None]
-        out = [None if found is None else b"".join([words[w] for w in found]) for found in tokens]
+        look = words.__getitem__
+        out = [None if found is None else b"".join(map(look, found)) for found in tokens]
         if rest:
             chunks = self.chunks
             chunks.learn(set().union(*rest), self._chunks)
@@ -176,7 +177,7 @@ def solve(counts: np.ndarray, level: bool = True) -> tuple[dict[tuple, float], f
     size = np.arange(capacity + 1) / capacity
     length, copies = items(counts)
     covered, multiples, bound = np.zeros(capacity + 1), {}, float(np.ceil((counts * size).sum() - 1e-9))
-    for _ in range(max(LEAST_ROUNDS, min(MOST_ROUNDS, WORK // len(length)))):
+    for _ in range(max(LEAST_ROUNDS, min(MOST_ROUNDS[level], WORK // len(length)))):
         price = np.where(counts > 0, size * np.exp(-STEEP * (covered - covered[present].min())), 0)
         best, taken = knapsack(price, length, copies)
         bound = max(bound, float((counts * price).sum() / best[capacity]))

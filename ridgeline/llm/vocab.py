@@ -26,7 +26,7 @@ MARKS = frozenset(bytes([b]) for b in b"!#$%&()*+,-./:;<=>?@[]^_`{|}~\\\"")
 #: The same for texts in UTF-8 whose only characters beyond ASCII are the letters from U+00C0 to U+017F, lower-cased;
 #: and what such texts don't hold (a capital I with a dot becomes two characters).
 LATIN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]+|[\xc3-\xc5][\x80-\xbf])+|[0-9]|[^\t-\r a-z0-9\x80-\xff]+")
-NOT_LATIN = rb"[\xc2\xc6-\xff]|\xc3[\x97\xb7]|\xc4\xb0"
+BEYOND = re.compile(rb"[\xc2\xc6-\xff]|\xc3[\x97\xb7]|\xc4\xb0")
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
@@ -63,7 +63,7 @@ class Vocabulary:
         self.opening = os.path.commonprefix(list(self.special))
         self.simple = all(sum(not x.isalpha() for x in c) > 1 for c in self.special)
         opening = [self.opening] if self.opening else list(self.special)
-        self.odd = re.compile(b"|".join([NOT_LATIN, *(re.escape(c.encode()) for c in opening)]))
+        self.marked = re.compile(b"|".join([re.escape(c.encode()) for c in opening]) or rb"(?!)")
         letters = byte_letters()
         #: Ids of each byte inside a word and at its end.
         self.inner = [ids[c] for c in letters]
@@ -76,9 +76,11 @@ class Vocabulary:
 
     def tokens(self, text: bytes) -> list[bytes] | None:
         """A whole text's pre-tokens at once, or None if it has characters or special tokens that need more."""
-        if self.odd.search(text):
+        if self.marked.search(text):
             return None
-        return LATIN.findall(text.lower() if text.isascii() else text.decode().lower().encode())
+        if text.isascii():
+            return LATIN.findall(text.lower())
+        return None if BEYOND.search(text) else LATIN.findall(text.decode().lower().encode())
 
     def pieces(self, chunk: bytes) -> list[bytes | int]:
         """A chunk's pre-tokens, as bytes, and its special tokens, as ids, in order."""
