@@ -77,6 +77,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts. Results that are maps over it run when the caller likes, and a plan has no batch
+    size of its own: where the session has not been given one, it gets `BATCH_ROWS`. One that was set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

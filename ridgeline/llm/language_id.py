@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import held_out, slices, struct, table
+from ridgeline.llm.common import held_out, materialize, slices, struct, table
 
 #: Hashed features of a text, and how many texts are turned into features at once.
 WIDTH, ROWS = 2048, 512
 #: Bytes of text that are turned into n-grams at a time.
 PIECE = 1 << 20
+#: So many labels are broadcast; more are joined.
+BROADCAST_LABELS = 10_000
 LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are not letters count as one blank.
 FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], dtype=np.uint8)
@@ -150,7 +152,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     """Learns from rows with a label. `per_language` bounds the sample of each language; all rows are
     used where there are fewer."""
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col).cast("string")).alias("order"), F.col(text_col).cast("string").alias("text"))
-    sizes = rows.groupBy("label").count()
+    sizes = materialize(rows.groupBy("label").count(), "labels")
+    if sizes.count() <= BROADCAST_LABELS:
+        sizes = F.broadcast(sizes)
     part = F.pmod(F.col("order"), F.lit(1_000_000))
     # Half as many again as wanted, so that chance leaves enough.
     chosen = part < F.floor(1_000_000 * F.least(F.lit(1.0), 1.5 * per_language / F.col("count"))) + 1

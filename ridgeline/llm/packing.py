@@ -34,7 +34,9 @@ from pyspark.sql import types as T
 from ridgeline.llm import vocab
 from ridgeline.llm.common import Recent, materialize, slices, struct, table
 
-CHUNKS, WORDS = 200_000, 400_000
+CHUNKS, WORDS = 60_000, 220_000
+#: Bytes of text cut into words at a time.
+SLICE = 2 << 20
 CAPACITY = 2048
 #: Rounds of pricing: in inverse proportion to the knapsack's items, within limits (the upper ones loose, level).
 WORK, LEAST_ROUNDS, MOST_ROUNDS = 45_000, 14, (600, 100)
@@ -106,7 +108,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last, size = id_bytes(path), closing.to_bytes(4, "little"), 4 * capacity
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             rows, number, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encoder.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])):
                 ids += last
