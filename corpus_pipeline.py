@@ -55,11 +55,14 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One row of each group stays: that of the smallest id."""
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID)))
     whole = docs.select(number.alias("__id"), F.col("text").alias("__text"), F.struct(*docs.columns).alias(ROW))
-    found = materialize(near_dup.group(whole, "__id", "__text").where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("rows")), "survivors")
-    once = whole.join(found.where("rows = 1"), "__id", "left_semi")
+    kept = near_dup.group(whole, "__id", "__text").where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    stay = whole.join(kept, "__id", "left_semi")
+    repeated = materialize(whole.groupBy("__id").count().where("count > 1").select("__id"), "repeated")
+    if not repeated.count():
+        return stay.select(f"{ROW}.*")
     first = Window.partitionBy("__id").orderBy(F.xxhash64("__text"), F.xxhash64(ROW))
-    again = whole.join(found.where("rows > 1"), "__id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return once.select(f"{ROW}.*").unionByName(again.select(f"{ROW}.*"))
+    again = stay.join(repeated, "__id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return stay.join(repeated, "__id", "left_anti").select(f"{ROW}.*").unionByName(again.select(f"{ROW}.*"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
