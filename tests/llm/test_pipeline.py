@@ -33,6 +33,29 @@ def test_run_matches_the_stages(spark):
     assert rows and len({(r.doc_id, r.piece) for r in rows}) == len(rows)
 
 
+def test_unusual_rows(spark):
+    """Null ids, texts and languages, repeated ids with equal and other texts, columns with the stages' names."""
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality_stage(spark, source, SF).collect()}
+    good = [r for r in source.orderBy("doc_id").collect() if r.doc_id in kept][:6]
+    a, b, c, d, e, f = (r.text for r in good)
+    rows = [(1, a), (1, a), (2, b), (2, c), (None, a), (None, d), (None, d), (3, None), (4, ""), (5, c), (6, e), (7, f)]
+    schema = "doc_id long, text string, lang string, kept string, score double, __id string, ambiguous string, rank int"
+    docs = spark.createDataFrame([(i, t, None, "x", 0.5, "y", "z", 1) for i, t in rows], schema)
+    once = corpus_pipeline.near_dup_stage(spark, docs, SF)
+    assert once.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in once.collect()]
+    ids = [i for i, _ in got]
+    # 2 and 5 share a text, 2 with another text is one document; the copies without an id are one row.
+    assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 6, 7] and [t for i, t in got if i is None] == [d]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name
+        assert stage(spark, docs.where("rank = 0"), SF).count() == 0, name
+    assert {r.text for r in corpus_pipeline.pii_stage(spark, docs, SF).where("doc_id in (3, 4)").collect()} == {None, ""}
+    packed = corpus_pipeline.packing_stage(spark, docs, SF)
+    assert packed.where("piece = 0").count() == len(rows)
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
 
