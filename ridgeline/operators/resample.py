@@ -90,8 +90,10 @@ def values_at(df: DataFrame, wanted: DataFrame, column: str = "elevation") -> Da
     points = df.select("track_id", F.col("distance").alias("s"), F.col(column).alias("v"), F.lit(1).alias("_side"), F.col("seq").alias("_seq"))
     asked = wanted.select("track_id", "s", F.lit(None).cast("double").alias("v"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_seq"))
     order = Window.partitionBy("track_id").orderBy("s", "_side", "_seq")
+    # What follows is looked up from the end: a frame that grows takes linear time, one that shrinks does not.
+    back = Window.partitionBy("track_id").orderBy(F.desc("s"), F.desc("_side"), F.desc("_seq"))
     known = F.when(F.col("_side") == 1, F.struct("s", "v"))
-    u = points.unionByName(asked).withColumn("_a", F.last(known, True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(known, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    u = points.unionByName(asked).withColumn("_a", F.last(known, True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(known, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     u = u.where("_side = 0")
     gap = F.col("_b.s") - F.col("_a.s")
     value = F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull(), F.col("_a.v")).when(gap > 0, F.col("_a.v") + (F.col("s") - F.col("_a.s")) / gap * (F.col("_b.v") - F.col("_a.v"))).otherwise(F.col("_b.v"))
@@ -106,8 +108,9 @@ def nearest(df: DataFrame, wanted: DataFrame) -> DataFrame:
     points = firsts.select("track_id", F.col("distance").alias("s"), F.struct("distance", "seq").alias("_p"), *[F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in extra])
     asked = wanted.select("track_id", "s", F.lit(None).cast(points.schema["_p"].dataType).alias("_p"), *extra)
     order = Window.partitionBy("track_id").orderBy("s")
+    back = Window.partitionBy("track_id").orderBy(F.desc("s"))
     u = points.withColumn("_w", F.lit(False)).unionByName(asked.withColumn("_w", F.lit(True)))
-    u = u.withColumn("_a", F.last("_p", True).over(order.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_p", True).over(order.rangeBetween(0, Window.unboundedFollowing)))
+    u = u.withColumn("_a", F.last("_p", True).over(order.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last("_p", True).over(back.rangeBetween(Window.unboundedPreceding, 0)))
     u = u.where("_w")
     later = F.col("_a").isNull() | (F.col("_b.distance") - F.col("s") < F.col("s") - F.col("_a.distance"))
     pick = F.when(F.col("_b").isNotNull() & later, F.col("_b")).otherwise(F.col("_a"))
@@ -128,7 +131,8 @@ def densified_bound(stats: DataFrame) -> DataFrame:
 def fill_linear(df: DataFrame, column: str, x: str = "seq") -> DataFrame:
     """NaN or null between known values is replaced along a line over x; ends take the nearest known value."""
     known = F.when(F.col(column).isNotNull() & ~F.isnan(column), F.struct(F.col(x).cast("double").alias("x"), F.col(column).alias("v")))
-    d = df.withColumn("_a", F.last(known, True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(known, True).over(in_order().rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy("track_id").orderBy(F.desc("seq"))
+    d = df.withColumn("_a", F.last(known, True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(known, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     gap = F.col("_b.x") - F.col("_a.x")
     line = F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull() | (gap == 0), F.col("_a.v")).otherwise(F.col("_a.v") + (F.col(x) - F.col("_a.x")) / F.when(gap != 0, gap) * (F.col("_b.v") - F.col("_a.v")))
     return d.withColumn(column, line).drop("_a", "_b")
