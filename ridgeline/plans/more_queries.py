@@ -91,7 +91,7 @@ def douglas_peucker(spark, sf_dir):
 CAND = f"""WITH {POINTS}, r AS (SELECT track_id, seq, distance, elevation, coalesce(elevation - pele, 0e0) AS rise, segment AS way FROM pd),
  c AS (SELECT *, sum(greatest(rise, 0e0)) OVER w AS up, sum(CASE WHEN rise > 0 THEN way ELSE 0e0 END) OVER w AS cl FROM r WINDOW w AS (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
  nd AS (SELECT track_id, greatest(10e0, least(35e0, max(up) / 100e0)) AS need FROM c GROUP BY track_id),
- j AS (SELECT a.track_id, a.seq AS first, b.seq AS last, b.distance - a.distance AS len, b.elevation - a.elevation AS net, b.up - a.up AS up, b.cl - a.cl AS cl FROM c a JOIN c b ON a.track_id = b.track_id AND b.seq > a.seq AND b.seq <= a.seq + 64),
+ j AS (SELECT a.track_id, a.seq AS first, b.seq AS last, b.distance - a.distance AS len, b.elevation - a.elevation AS net, b.up - a.up AS up, b.cl - a.cl AS cl FROM c a JOIN c b ON a.track_id = b.track_id AND b.seq > a.seq),
  q AS (SELECT j.*, len * pow(100e0 * net / len, 1.3e0) AS score FROM j JOIN nd ON nd.track_id = j.track_id WHERE len > 10e0 AND net >= need AND 100e0 * net / len >= 3e0 AND (100e0 * up / nullif(cl, 0e0)) / (100e0 * net / len) <= 1.3e0)"""
 
 
