@@ -656,11 +656,17 @@ def cumulative_gain(h: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def best_climbs(d: np.ndarray, e: np.ndarray, o: ClimbOptions) -> tuple[list[tuple[float, int, int]], np.ndarray, np.ndarray]:
-    """The best climb from every start that has one (score, first, last), and the ascent and the way climbed so far."""
+def ascent(e: np.ndarray) -> float:
+    step = np.diff(e)
+    return float(step[step > 0].sum())
+
+
+def best_climbs(d: np.ndarray, e: np.ndarray, o: ClimbOptions, whole: float | None = None) -> tuple[list[tuple[float, int, int]], np.ndarray, np.ndarray]:
+    """The best climb from every start that has one (score, first, last), and the ascent and the way climbed so far.
+    whole: the path's ascent, where these are not all of its points."""
     step, way = np.diff(e), np.diff(d)
     up = np.where(step > 0, step, 0.0)
-    need = max(o.least_elevation_m, min(o.most_least_elevation_m, float(up.sum()) / o.elevation_ratio))
+    need = max(o.least_elevation_m, min(o.most_least_elevation_m, (float(up.sum()) if whole is None else whole) / o.elevation_ratio))
     ups, climbing = np.concatenate([[0], np.cumsum(up)]), np.concatenate([[0], np.cumsum(np.where(step > 0, way, 0.0))])
     best: list[tuple[float, int, int]] = []
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -679,12 +685,13 @@ def best_climbs(d: np.ndarray, e: np.ndarray, o: ClimbOptions) -> tuple[list[tup
 def climbs(s: np.ndarray, ele: np.ndarray, o: ClimbOptions = ClimbOptions()) -> list[dict]:
     """The best climb from every start, the best of those that do not overlap, and the parts of each."""
     n = len(s)
-    stride = max(1, math.ceil(n / o.max_points))
+    # The gaps are shared out, so that the last point, which always stays, is within the bound.
+    stride = max(1, math.ceil((n - 1) / (o.max_points - 1)))
     rows = np.unique(np.append(np.arange(0, n, stride), n - 1)) if n else np.zeros(0, dtype=int)
     d, e = s[rows], ele[rows]
     if len(d) < 2:
         return []
-    best, ups, climbing = best_climbs(d, e, o)
+    best, ups, climbing = best_climbs(d, e, o, ascent(ele))
     taken: list[tuple[float, int, int]] = []
     for c in sorted(best, key=lambda x: -x[0]):
         if all(c[2] < k[1] or c[1] > k[2] for k in taken):

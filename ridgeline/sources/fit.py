@@ -82,6 +82,14 @@ def snap(distance: np.ndarray, wanted: list[dict]) -> list[dict]:
     return out
 
 
+def whole_name(name: str) -> bytes:
+    """A name in UTF-8, never cut: a field holds 254 bytes and the closing zero."""
+    text = name.encode()
+    if len(text) > 254:
+        raise ValueError("a name has more than 254 bytes")
+    return text
+
+
 def encode(name: str, segments: list[dict], start_ms: int, sport: str = "cycling", course_points: list[dict] = (), gap_s: float = 1.0) -> bytes:
     """A course of one or more segments (arrays lat, lon in degrees, ele, time in ms, distance, power, hr, cad,
     speed, temp; gain and loss). Time must not go back; later segments continue time and distance."""
@@ -89,7 +97,7 @@ def encode(name: str, segments: list[dict], start_ms: int, sport: str = "cycling
         raise ValueError("time must not go back along a segment")
     w = Writer()
     w.add(FILE_ID, (0, ENUM, 6), (1, UINT16, 255), (2, UINT16, 0), (3, UINT32Z, 1), (4, UINT32, timestamp(start_ms)))
-    w.add(COURSE, (4, ENUM, SPORT[sport]), (5, STRING, name.encode()[:31]))
+    w.add(COURSE, (4, ENUM, SPORT[sport]), (5, STRING, whole_name(name)))
     clock, way = float(start_ms), 0.0
     plans = []
     for s in segments:
@@ -110,7 +118,7 @@ def encode(name: str, segments: list[dict], start_ms: int, sport: str = "cycling
             lats, lons = (np.concatenate([x[0][c] for x in plans]) for c in ("lat", "lon"))
             for p in snap(whole, list(course_points)):
                 i = p["index"]
-                w.add(COURSE_POINT, (1, UINT32, timestamp(times[i])), (2, SINT32, semicircles(lats[i])), (3, SINT32, semicircles(lons[i])), (4, UINT32, round(whole[i] * 100)), (5, ENUM, POINT_TYPE[p.get("type", "generic")]), (6, STRING, p.get("name", "").encode()[:15]))
+                w.add(COURSE_POINT, (1, UINT32, timestamp(times[i])), (2, SINT32, semicircles(lats[i])), (3, SINT32, semicircles(lons[i])), (4, UINT32, round(whole[i] * 100)), (5, ENUM, POINT_TYPE[p.get("type", "generic")]), (6, STRING, whole_name(p.get("name", ""))))
         w.add(EVENT, (253, UINT32, timestamp(t[-1])), (0, ENUM, 0), (1, ENUM, 9 if k == len(plans) - 1 else 4))
     return w.done()
 

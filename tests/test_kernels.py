@@ -7,7 +7,7 @@ import pytest
 
 from ridgeline.functions import kernels as k
 from ridgeline.functions import sequence as q
-from ridgeline.options import Bike, Cyclist, GainOptions, PowerSpec, RacingLineOptions, Wind, for_road
+from ridgeline.options import Bike, ClimbOptions, Cyclist, GainOptions, PowerSpec, RacingLineOptions, Wind, for_road
 
 
 def track(lat=None, lon=None, ele=None, time=None, **more):
@@ -133,6 +133,23 @@ def test_pedals_up_in_turns():
     assert held >= free
 
 
+def test_long_climbs_are_thinned_within_the_bound():
+    d = np.arange(7000) * 2.0
+    e = np.minimum(d, 6000) * 0.05
+    o = ClimbOptions(max_points=3000)
+    found = k.climbs(d, e, o)
+    assert found and found[0]["last"] <= 6999 and k.ascent(e) == pytest.approx(300)
+    seen = []
+    best = k.best_climbs
+    k.best_climbs = lambda x, y, *rest: seen.append(len(x)) or best(x, y, *rest)
+    try:
+        k.climbs(d[:6001], e[:6001], o)
+        k.climbs(d[:3000], e[:3000], o)
+    finally:
+        k.best_climbs = best
+    assert seen[0] <= 3000 and seen[1] == 3000
+
+
 def test_climbs():
     d = np.arange(0, 10_001, 100.0)
     one = k.climbs(d, d * 0.05)
