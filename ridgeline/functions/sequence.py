@@ -1,4 +1,4 @@
-"""Whole-track algorithms on roads: corners, corridor, racing line, bridge decks, tunnels, segment order."""
+"""Whole-track algorithms on roads: corners, corridor, racing line, tunnels, segment order."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import math
 import numpy as np
 
 from ridgeline.functions import kernels as k
-from ridgeline.options import DeckOptions, RacingLineOptions, TunnelOptions
+from ridgeline.options import RacingLineOptions, TunnelOptions
 
 # --- corners -----------------------------------------------------------------------------------
 
@@ -229,16 +229,6 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def merge_runs(found: list[tuple[int, int]], gap: float, step: float) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in found:
-        if out and (a - out[-1][1]) * step < gap:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
 def padded(x: np.ndarray, half: int) -> np.ndarray:
     """Windows of 2 * half + 1 around each value, ends repeated."""
     return np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="edge"), 2 * half + 1) if len(x) else np.zeros((0, 2 * half + 1))
@@ -258,105 +248,6 @@ def centred_slope(x: np.ndarray, half: int, step: float) -> np.ndarray:
     return (x[np.minimum(i + half, len(x) - 1)] - x[np.maximum(i - half, 0)]) / (2 * half * step)
 
 
-# --- bridge decks ------------------------------------------------------------------------------
-
-
-def surface(mnt: np.ndarray, mns: np.ndarray, mnh: np.ndarray, o: DeckOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Height above ground (what the ground model has above the surface counts as tall), smoothed surface and
-    its roughness."""
-    height = np.where(mnt > mns + o.ground_tolerance_m, np.inf, mnh)
-    smooth = rolling_median(mns, int(o.median_window_m / o.step_m / 2))
-    rough = np.sqrt(padded((mns - smooth) ** 2, int(o.roughness_window_m / o.step_m / 2)).mean(axis=1))
-    return height, smooth, rough
-
-
-def decks(mnt: np.ndarray, mns: np.ndarray, mnh: np.ndarray, o: DeckOptions = DeckOptions()) -> list[dict]:
-    """Spans where the road runs on a bridge over lower ground, and those considered and rejected, by reason.
-    Every test is written so that a missing value rejects."""
-    n = len(mnt)
-    if not n:
-        return []
-    height, smooth, rough = surface(mnt, mns, mnh, o)
-    tall = [r for r in runs(height > o.tall_m) if r[1] - r[0] + 1 >= o.min_tall_run_m / o.step_m]
-    clean = rough <= o.max_roughness_m
-    good = [r for r in tall if clean[r[0] : r[1] + 1].mean() >= o.min_smooth_fraction]
-    spans = []
-    for a, b in merge_runs(good, o.merge_gap_m, o.step_m):
-        spans.append((_extend(height, a, -1, o), _extend(height, b, 1, o)))
-    out, queue = [], spans
-    while queue:
-        a, b = queue.pop(0)
-        found = _deck(a, b, mnt, mns, height, smooth, rough, o)
-        parts = [r for r in good if a <= r[0] and r[1] <= b]
-        if found["status"] == "STEEP" and o.split_steep and len(parts) > 1:
-            queue = [(_extend(height, p, -1, o), _extend(height, q, 1, o)) for p, q in parts] + queue
-            good = [r for r in good if r not in parts]
-            continue
-        out.append(found)
-    return sorted(out, key=lambda x: (x["first"], x["last"]))
-
-
-def _extend(height: np.ndarray, at: int, way: int, o: DeckOptions) -> int:
-    """On to the abutment: while the surface stands above ground, over islands of missing values."""
-    edge, missing = at, 0
-    for i in range(1, o.max_extend + 1):
-        j = at + way * i
-        if not 0 <= j < len(height):
-            break
-        if height[j] > o.deck_height_m:
-            edge, missing = j, 0
-        elif math.isnan(height[j]) and missing < o.island_nan:
-            missing += 1
-        else:
-            break
-    return edge
-
-
-def _deck(a: int, b: int, mnt, mns, height, smooth, rough, o: DeckOptions) -> dict:
-    first, last = max(0, a - 1), min(len(mnt) - 1, b + 1)
-    length = (b - a + 1) * o.step_m
-    inside = slice(a, b + 1)
-    line = np.linspace(smooth[first], smooth[last], last - first + 1)[a - first : a - first + b - a + 1]
-    canyon, drop = float(np.nanmax(line - mnt[inside], initial=-np.inf)), float(np.nanmedian(line - mnt[inside])) if np.isfinite(mnt[inside]).any() else math.nan
-    slopes = np.abs(centred_slope(smooth, int(o.slope_half_window_m / o.step_m), o.step_m)[inside])
-    clean = rough[inside] <= o.max_roughness_m
-    used = slopes[clean] if clean.sum() >= o.min_clean_stations and clean.mean() >= o.min_clean_fraction else slopes
-    steep = float(np.nanpercentile(used, 95)) if np.isfinite(used).any() else math.nan
-    status = "DECK"
-    if not np.isfinite(smooth[[first, last]]).all():
-        status = "NO_DATA"
-    elif not canyon > o.min_canyon_drop_m:
-        status = "NO_CANYON"
-    elif length < o.short_span_m and not float(np.nanmax(rough[inside])) <= o.max_short_roughness_m:
-        status = "SHORT_ROUGH"
-    elif not steep <= o.max_slope_p95 or length < o.min_length_m:
-        status = "STEEP"
-    return {"first": a, "last": b, "start": a * o.step_m, "end": b * o.step_m, "length": length, "canyon": canyon, "drop": drop, "slope_p95": steep, "status": status}
-
-
-def deck_profile(z: np.ndarray, spans: list[dict], smooth: np.ndarray, o: DeckOptions = DeckOptions(), max_rise: float = 0.12) -> np.ndarray:
-    """Heights with each accepted deck drawn as the smoothed surface between its abutments, no steeper than
-    max_rise a metre."""
-    out = z.copy()
-    for d in spans:
-        if d["status"] != "DECK":
-            continue
-        a, b = max(0, d["first"] - 1), min(len(z) - 1, d["last"] + 1)
-        part = smooth[a : b + 1].copy()
-        part[0], part[-1] = z[a], z[b]
-        known = np.flatnonzero(np.isfinite(part))
-        out[a : b + 1] = cap_slope(np.interp(np.arange(len(part)), known, part[known]), max_rise * o.step_m) if len(known) else out[a : b + 1]
-    return out
-
-
-def cap_slope(z: np.ndarray, most: float) -> np.ndarray:
-    """The mean of the lowest line above and the highest below with steps of at most `most`."""
-    i = np.arange(len(z)) * most
-    above = np.maximum(np.maximum.accumulate(z + i) - i, (np.maximum.accumulate((z + i[::-1])[::-1]))[::-1] - i[::-1])
-    below = np.minimum(np.minimum.accumulate(z - i) + i, (np.minimum.accumulate((z - i[::-1])[::-1]))[::-1] + i[::-1])
-    return (above + below) / 2
-
-
 # --- tunnels -----------------------------------------------------------------------------------
 
 
@@ -435,9 +326,44 @@ def flatten(s: np.ndarray, z: np.ndarray, spans: list[dict], protect: list[tuple
     return out
 
 
+def within(x: np.ndarray, ranges: list[tuple[float, float]]) -> np.ndarray:
+    out = np.zeros(np.shape(x), dtype=bool)
+    for a, b in ranges:
+        out |= (x >= a) & (x <= b)
+    return out
+
+
+def through(s: np.ndarray, z: np.ndarray, ground: np.ndarray, spans: list[dict], step: float, protect: list[tuple[float, float]] = (), refresh: float = 30.0) -> np.ndarray:
+    """Heights z at distances s with each tunnel on the line between the ground at its portals. Points within
+    `refresh` metres outside a portal get the stations' ground, so that none keeps a trace of the slope above it.
+    Protected ranges stay, and a portal in one of them keeps the height there."""
+    out, free = z.copy(), ~within(s, protect)
+    inside = within(s, [(t["start"], t["end"]) for t in spans])
+    around = within(s, [(t["start"] - refresh, t["end"] + refresh) for t in spans]) & ~inside & free
+    out[around] = np.interp(s[around] / step, np.arange(len(ground)), ground)
+    for t in spans:
+        portals = np.array([t["start"], t["end"]])
+        a, b = np.where(within(portals, protect), k.value_at(s, z, portals), ground[[t["first"], t["last"]]])
+        here = free & (s >= portals[0]) & (s <= portals[1])
+        out[here] = a + (b - a) * (s[here] - portals[0]) / (portals[1] - portals[0])
+    return out
+
+
+def sound_tunnels(spans: list[dict], measured: np.ndarray, step: float, protect: list[tuple[float, float]] = (), margin: float = 100.0) -> list[dict]:
+    """Without tunnels around a whole protected range (a bridge's pylons look like a mountain), and without
+    those that have a station near them whose ground was not measured."""
+    m = int(margin / step)
+    around = lambda t: measured[max(0, t["first"] - m) : t["last"] + m + 1]
+    return [t for t in spans if around(t).all() and not any(t["start"] < a and b < t["end"] for a, b in protect)]
+
+
 # --- order of segments -------------------------------------------------------------------------
 
 
+#: The most pieces whose order can be planned: sets double with each piece.
+MOST_PIECES = 20
+
+
 def order_gap(ends: np.ndarray, order: list[tuple[int, bool]]) -> float:
     """Metres between the pieces in that order (piece, reversed). ends: lat/lon of first and last points."""
     total = 0.0
@@ -448,37 +374,63 @@ def order_gap(ends: np.ndarray, order: list[tuple[int, bool]]) -> float:
 
 
 def best_order(ends: np.ndarray, least_gain: float = 200.0, most: int = 16) -> list[tuple[int, bool]]:
-    """The order and directions of a track's pieces with the shortest gaps, the first piece staying first and
-    forward; the file's order unless more than `least_gain` metres are saved."""
+    """The order and directions of a track's pieces with the shortest gaps, the first piece forward wherever it
+    comes; the file's order where there are more than `most` pieces (20 can be planned) or no more than
+    `least_gain` metres are saved."""
+    if not 1 <= most <= MOST_PIECES:
+        raise ValueError(f"most must be from 1 to {MOST_PIECES}")
     n = len(ends)
     file = [(i, False) for i in range(n)]
     if not 2 <= n <= most:
         return file
-    start = lambda v: ends[v >> 1, v & 1]
-    finish = lambda v: ends[v >> 1, 1 - (v & 1)]
-    gap = [[float(k.haversine(*finish(a), *start(b))) for b in range(2 * n)] for a in range(2 * n)]
-    cost = {(1, 0): (0.0, -1)}
-    for mask in range(1, 1 << n, 2):
-        for v in range(2 * n):
-            here = cost.get((mask, v))
-            if here is None:
-                continue
-            for u in range(2, 2 * n):
-                if mask >> (u >> 1) & 1:
-                    continue
-                key, c = (mask | 1 << (u >> 1), u), here[0] + gap[v][u]
-                if key not in cost or c < cost[key][0] - 1e-3:
-                    cost[key] = (c, v)
-    full = (1 << n) - 1
-    v = min((u for u in range(2 * n) if (full, u) in cost), key=lambda u: cost[full, u][0])
-    planned = cost[full, v][0]
-    if order_gap(ends, file) - planned <= least_gain:
+    into, out_of = ends.reshape(-1, 2), ends[:, ::-1].reshape(-1, 2)
+    gap = k.haversine(out_of[:, None, 0], out_of[:, None, 1], into[None, :, 0], into[None, :, 1])
+    chosen = shortest_chain(gap)
+    if not chosen or order_gap(ends, file) - order_gap(ends, chosen) <= least_gain:
         return file
-    out, mask = [], full
-    while v >= 0:
-        out.append((v >> 1, bool(v & 1)))
-        mask, v = mask & ~(1 << (v >> 1)), cost[mask, v][1]
-    return out[::-1]
+    return chosen
+
+
+def shortest_chain(gap: np.ndarray) -> list[tuple[int, bool]]:
+    """The cheapest chain through all pieces; gap[a, b] leads from node a to node b, node 2 * i + r being piece i,
+    reversed if r. Exact, over sets of pieces, all sets of a size at once: two sizes' costs are held, and one byte
+    for each set and last node. Among chains within a millimetre the lowest nodes win."""
+    nodes = len(gap)
+    n, sets = nodes // 2, np.arange(1 << (nodes // 2))
+    size = np.zeros(len(sets), dtype=np.int8)
+    for i in range(n):
+        size += (sets >> i & 1).astype(np.int8)
+    place, came = np.empty(len(sets), dtype=np.int32), np.full((len(sets), nodes), -1, dtype=np.int8)
+    free = [v for v in range(nodes) if v != 1]
+    before = None
+    for m in range(1, n + 1):
+        layer = np.flatnonzero(size == m)
+        place[layer] = np.arange(len(layer))
+        cost = np.full((nodes, len(layer)), np.inf)
+        for v in free:
+            bit = 1 << (v >> 1)
+            here = np.flatnonzero(layer & bit)
+            if m == 1:
+                cost[v, here] = 0
+                continue
+            earlier = place[layer[here] ^ bit]
+            best, who = np.full(len(here), np.inf), np.full(len(here), -1, dtype=np.int8)
+            for u in free:
+                c = before[u, earlier] + gap[u, v]
+                better = c < best - 1e-3
+                best[better], who[better] = c[better], u
+            cost[v, here] = best
+            came[layer[here], v] = who
+        before = cost
+    at = -1
+    for v in free:
+        if before[v, 0] < (before[at, 0] if at >= 0 else np.inf) - 1e-3:
+            at = v
+    chain, held = [], len(sets) - 1
+    while at >= 0:
+        chain.append((at >> 1, bool(at & 1)))
+        held, at = held ^ 1 << (at >> 1), int(came[held, at])
+    return chain[::-1]
 
 
 # --- matching ----------------------------------------------------------------------------------

@@ -182,13 +182,37 @@ class DeckOptions:
     short_span_m: float = 25.0
     max_short_roughness_m: float = 0.4
     min_canyon_drop_m: float = 3.0
+    deck_min_run_m: float = 40.0
+    small_span_m: float = 60.0
+    max_abutment_m: float = 100.0
+    slope_on_clean: bool = True
     min_clean_fraction: float = 0.25
     min_clean_stations: int = 5
+    ground_above_is_tall: bool = True
     ground_tolerance_m: float = 0.5
-    island_nan: int = 2
-    max_extend: int = 20
+    clean_gap_ground_m: float = 1.0
     split_steep: bool = True
 
+    def __post_init__(self):
+        _need(self.step_m > 0, "step_m must be positive")
+        for n in ("median_window_m", "roughness_window_m"):
+            _need(self.stations(getattr(self, n)) % 2 == 1, f"{n} must be an odd number of steps")
+        for n in ("min_tall_run_m", "slope_half_window_m", "deck_min_run_m"):
+            _need(self.stations(getattr(self, n)) >= 1, f"{n} must be a step at least")
+        for n in ("merge_gap_m", "short_span_m", "small_span_m", "max_abutment_m"):
+            _need(self.stations(getattr(self, n)) >= 0, f"{n} must be >= 0")
+        _need(self.min_clean_stations >= 2, "min_clean_stations must be >= 2")
+
+    def stations(self, metres: float) -> int:
+        n = round(metres / self.step_m)
+        _need(abs(n * self.step_m - metres) < 1e-9, f"{metres} m is not a whole number of steps")
+        return n
+
+    @property
+    def island(self) -> int:
+        """Half of the median's window: how many missing stations in a row it can bridge."""
+        return self.stations(self.median_window_m) // 2
+
 
 @dataclass(frozen=True)
 class TunnelOptions:
@@ -230,3 +254,8 @@ class EnhanceOptions:
     def __post_init__(self):
         _need(self.smooth_window_m >= 0, "smooth_window_m must be >= 0")
         _need(self.simplify_tolerance_m >= 0, "simplify_tolerance_m must be >= 0")
+
+    @property
+    def on_terrain(self) -> bool:
+        """Whether decks or tunnels are drawn from the terrain's own models."""
+        return self.fix_elevation and (self.bridge_decks or self.tunnels)

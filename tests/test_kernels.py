@@ -1,13 +1,15 @@
 """Values with a known answer, and properties that hold on any track."""
 
+import itertools
 import math
 
 import numpy as np
 import pytest
 
+from ridgeline.functions import decks
 from ridgeline.functions import kernels as k
 from ridgeline.functions import sequence as q
-from ridgeline.options import Bike, ClimbOptions, Cyclist, GainOptions, PowerSpec, RacingLineOptions, Wind, for_road
+from ridgeline.options import Bike, ClimbOptions, Cyclist, DeckOptions, GainOptions, PowerSpec, RacingLineOptions, Wind, for_road
 
 
 def track(lat=None, lon=None, ele=None, time=None, **more):
@@ -207,15 +209,157 @@ def test_banded_solver():
     assert q.apply(band, want) == pytest.approx(full @ want)
 
 
+def flat(n, ground=10.0):
+    return np.full(n, ground), np.full(n, ground)
+
+
+def bridge(mnt, mns, a, b, under, top):
+    mnt[a : b + 1] = under
+    mns[a : b + 1] = top(np.arange(a, b + 1)) if callable(top) else top
+
+
+def detect(mnt, mns, mnh=None, **options):
+    return decks.find(mnt, mns, mns - mnt if mnh is None else mnh, DeckOptions(**options))
+
+
+def canyon_bridge():
+    mnt, mns = flat(200)
+    bridge(mnt, mns, 55, 124, 10.0, 12.0)
+    bridge(mnt, mns, 60, 119, 2.0, 12.0)
+    return mnt, mns
+
+
+def spans(found):
+    return [(d["first"], d["last"], d["status"]) for d in found]
+
+
 def test_decks():
-    mns = np.full(180, 100.0)
-    mnt = np.full(180, 100.0)
-    mnt[56:124] = 90.0
-    found = q.decks(mnt, mns, mns - mnt)
-    assert [d["status"] for d in found] == ["DECK"] and abs(found[0]["first"] - 56) <= 1 and abs(found[0]["last"] - 123) <= 1
-    assert found[0]["canyon"] == pytest.approx(10)
-    assert q.decks(np.full(50, 100.0), np.full(50, 100.0), np.zeros(50)) == []
-    assert np.abs(np.diff(q.cap_slope(np.array([0.0, 0, 10, 0, 0]), 1.0))).max() <= 1 + 1e-9
+    (d,) = detect(*canyon_bridge())
+    assert (d["first"], d["last"], d["status"], d["start"], d["end"], d["length"]) == (55, 124, "DECK", 275, 620, 350)
+    assert (d["slope_p95"], d["roughness"], d["smooth_fraction"], d["canyon"], d["drop"], d["top"]) == (0, 0, 1, 10, 8, 12)
+    assert d["ranges"] == [{"first": 55, "last": 124}]
+    assert detect(*flat(300)) == [] and detect(*flat(0)) == []
+    for bad in ({"median_window_m": 20.0}, {"step_m": 4.0}, {"min_clean_stations": 1}):
+        with pytest.raises(ValueError):
+            DeckOptions(**bad)
+
+
+def test_deck_slopes():
+    def camber(grade):
+        mnt, mns = flat(200)
+        bridge(mnt, mns, 55, 124, 2.0, lambda i: 30 - grade / 350 * ((i - 89.5) * 5) ** 2)
+        return mnt, mns
+
+    mnt, mns = camber(0.059)
+    piles = [74, 75, 94, 95, 114, 115]
+    mnt[piles] = mns[piles] - 2
+    (d,) = detect(mnt, mns)
+    assert (d["first"], d["last"], d["status"]) == (55, 124, "DECK") and 0.045 < d["slope_p95"] < 0.059 and d["slope_max"] < 0.059
+    assert spans(detect(*camber(0.12))) == [(55, 124, "STEEP")]
+
+    def ramp(rise):
+        mnt, mns = flat(200)
+        bridge(mnt, mns, 55, 124, 2.0, lambda i: 30 + rise * (i - 55))
+        return detect(mnt, mns)
+
+    assert ramp(0.5)[0]["slope_p95"] == pytest.approx(0.1, abs=1e-12) and ramp(0.5)[0]["status"] == "DECK" and ramp(0.505)[0]["status"] == "STEEP"
+
+
+def test_deck_rejections():
+    mnt = 100 + 0.1 * np.arange(220)
+    mns = mnt.copy()
+    crowns = np.concatenate([np.arange(50, 90), np.arange(100, 140)])
+    mns[crowns] += 15 + (crowns * 7919 % 13 - 6) * 0.5
+    assert spans(detect(mnt, mns)) == [(50, 139, "ROUGH")]
+
+    def roof(under):
+        mnt, mns = flat(200, 50.0)
+        bridge(mnt, mns, 50, 89, under, 60.0)
+        return [d["status"] for d in detect(mnt, mns)]
+
+    assert (roof(50.0), roof(47.0), roof(46.99)) == (["NO_CANYON"], ["NO_CANYON"], ["DECK"])
+    for stations, n in ((2, 0), (3, 1)):
+        mnt, mns = flat(100)
+        bridge(mnt, mns, 50, 49 + stations, 0.0, 20.0)
+        assert len(detect(mnt, mns)) == n
+    for dip, status in ((106, "NO_CANYON"), (105, "ROUGH")):
+        mnt, mns = flat(200)
+        bridge(mnt, mns, 100, 104, 10.0, 20.0)
+        mns[dip] = -10
+        assert [d["status"] for d in detect(mnt, mns)] == [status]
+    none = np.full(3, np.nan)
+    assert spans(detect(none, none, np.full(3, 10.0))) == [(0, 2, "NO_DATA")]
+
+
+def test_deck_spans():
+    def two(missing):
+        second = 70 + missing
+        mnt, mns = flat(300)
+        bridge(mnt, mns, 50, second + 19, 2.0, 12.0)
+        mnt[70:second] = 10
+        mnt[(69 + second) // 2] = 11.5
+        return [(d["first"], d["last"]) for d in detect(mnt, mns, max_abutment_m=1000.0) if d["status"] == "DECK"]
+
+    assert two(59) == [(50, 148)] and two(60) == [(50, 98), (100, 149)]
+    mnt, mns = flat(300)
+    bridge(mnt, mns, 50, 169, 2.0, 12.0)
+    mnt[70:150] = 10
+    assert spans(detect(mnt, mns, max_abutment_m=1000.0)) == [(50, 169, "DECK")]
+    for field, last in ((20, 159), (21, 139)):
+        mnt, mns = flat(800)
+        bridge(mnt, mns, 100, 139, 2.0, 12.0)
+        mns[140 : 140 + field] = mnt[140 : 140 + field] + 2
+        assert [d["last"] for d in detect(mnt, mns) if d["status"] == "DECK"] == [last]
+
+
+def test_deck_gaps():
+    mnt, mns = canyon_bridge()
+    mnh = mns - mnt
+    mnh[56:58] = np.nan
+    assert spans(detect(mnt, mns, mnh)) == [(55, 124, "DECK")]
+    wide = mns.copy()
+    wide[56:59] = np.nan
+    assert spans(detect(mnt, wide)) == [(59, 124, "NO_DATA")]
+    for hole in (62, 70, 117):
+        holed = mns.copy()
+        holed[hole] = np.nan
+        (d,) = detect(mnt, holed)
+        assert (d["status"], d["ranges"]) == ("DECK", [{"first": 55, "last": 124}])
+    low = mns.copy()
+    low[90] = mnt[90] - 1e6
+    assert detect(mnt, low)[0]["ranges"] == [{"first": 55, "last": 124}]
+    wide = mns.copy()
+    wide[70:73] = np.nan
+    assert detect(mnt, wide)[0]["ranges"] == [{"first": 55, "last": 69}, {"first": 73, "last": 124}]
+
+    def blip(a, at, b):
+        mnt, mns = flat(200)
+        bridge(mnt, mns, a[0], b[1], 19.5, 20.0)
+        for p, q in (a, b):
+            mnt[p : q + 1] = 2
+        mnt[at[0] : at[1] + 1] = 18
+        (d,) = detect(mnt, mns)
+        return [(r["first"], r["last"]) for r in d["ranges"]]
+
+    assert blip((100, 107), (115, 117), (125, 132)) == [(100, 107), (125, 132)]
+    assert blip((100, 102), (106, 106), (110, 112)) == [(100, 102), (106, 106), (110, 112)]
+    assert blip((100, 102), (105, 105), (108, 110)) == [(100, 110)]
+    (w,) = decks.surface_windows(canyon_bridge()[1] - canyon_bridge()[0])
+    assert w == (50, 129)
+
+
+def test_deck_profile():
+    mnt, mns = canyon_bridge()
+    survey = mnt, mns, mns - mnt
+    (r,) = decks.stretches(*survey, detect(mnt, mns))
+    assert (r.first, r.last, r.pinned) == (54, 125, (True, True)) and r.written(5.0) == (270, 625)
+    z = decks.profile(mnt, [r])
+    assert z[54] == 10 and z[125] == 10 and z[r.anchors[0] : r.anchors[-1] + 1] == pytest.approx(12) and (np.diff(z[54 : r.anchors[0] + 1]) > 0).all()
+    raised = decks.least_above(np.array([0.0, 0, 10, 0, 0]), 1.0)
+    assert raised.tolist() == [8, 9, 10, 9, 8]
+    s = np.arange(0, 1000, 2.0)
+    road = decks.write(s, np.full(len(s), 10.0), [r], 5.0)
+    assert road[s < 270].max() == 10 and road[(s > 320) & (s < 590)] == pytest.approx(12) and road[s > 625].max() == 10
 
 
 def test_tunnels():
@@ -236,6 +380,25 @@ def test_segment_order():
     ends = np.array([[p(0), p(1)], [p(3), p(2)], [p(1.01), p(1.9)]])
     assert q.best_order(ends) == [(0, False), (2, False), (1, True)]
     assert q.best_order(ends[:1]) == [(0, False)]
+    # The first piece need not come first, and stays forward.
+    assert q.best_order(np.array([[p(1), p(2)], [p(0), p(0.99)]])) == [(1, False), (0, False)]
+    with pytest.raises(ValueError):
+        q.best_order(ends, most=21)
+
+
+def test_segment_order_against_all():
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 4, 5):
+        ends = np.radians(np.stack([rng.uniform(45, 46, (n, 2)), rng.uniform(6, 7, (n, 2))], axis=-1))
+        turns = [t for t in itertools.product((False, True), repeat=n) if not t[0]]
+        best = min(q.order_gap(ends, [(i, t[i]) for i in o]) for o in itertools.permutations(range(n)) for t in turns)
+        assert q.order_gap(ends, q.best_order(ends, 0.0)) == pytest.approx(best, abs=0.01 * n)
+    way = np.stack([np.full(19, 45.0), 6 + np.arange(19) * 0.1], axis=-1)
+    chain = np.radians(np.stack([way[:-1], way[1:] - [0, 0.01]], axis=1))
+    at = rng.permutation(18)
+    at = np.concatenate([[0], at[at != 0]])
+    assert q.best_order(chain[at], most=20) == [(int(i), False) for i in np.argsort(at)]
+    assert q.best_order(chain[at]) == [(i, False) for i in range(18)]
 
 
 def test_matching():
