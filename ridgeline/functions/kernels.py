@@ -381,14 +381,19 @@ def max_speeds(t: Track, c: Cyclist = Cyclist()) -> Track:
     r = radii(t)
     corner = np.where(r >= 200, c.max_speed, np.minimum(c.max_speed, np.sqrt(G * r * c.tan_lean)))
     t["radius"][: n - 1], t["speedMaxIncline"][: n - 1] = r[: n - 1], corner[: n - 1]
-    d, limit = t["distance"], [0.0] * n
-    limit[-1] = 2.0
-    for i in range(n - 2, -1, -1):
-        limit[i] = braking(float(corner[i]), limit[i + 1], float(d[i + 1] - d[i]), float(r[i]), c)
-    t["speedMax"] = np.array(limit)
+    t["speedMax"] = braking_limits(t["distance"], corner, r, c)
     return derive(t)
 
 
+def braking_limits(distance: np.ndarray, corner: np.ndarray, radius: np.ndarray, c: Cyclist) -> np.ndarray:
+    """The speed at each point that lets a rider brake to all later limits; 2 m/s at the end."""
+    limit = [2.0] * len(distance)
+    rows = list(zip(corner.tolist(), np.diff(distance).tolist(), radius.tolist(), strict=False))
+    for i in range(len(rows) - 1, -1, -1):
+        limit[i] = braking(rows[i][0], limit[i + 1], rows[i][1], rows[i][2], c)
+    return np.array(limit)
+
+
 def braking(corner: float, after: float, way: float, radius: float, c: Cyclist) -> float:
     """The speed from which the next point's speed can be reached, sharing grip between turning and braking."""
     a = c.max_brake_g * G

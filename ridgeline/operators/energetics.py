@@ -1,8 +1,8 @@
-"""Anaerobic reserve and counted ascent: folds over a track's ordered points, kept in the JVM."""
+"""Anaerobic reserve and counted ascent: folds over a track's ordered points."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import kernels
@@ -10,31 +10,9 @@ from ridgeline.operators.tracks import add_columns, by_track, summarize
 from ridgeline.options import GAIN_PRESETS, Cyclist, GainOptions
 
 
-def w_prime_step(balance: Column, power: Column, dt: Column, cp: float, full: float) -> Column:
-    spent = balance - (power - cp) * dt
-    back = full - (full - balance) * F.exp(-(cp - power) * dt / full)
-    return F.least(F.lit(full), F.greatest(F.lit(0.0), F.when(power >= cp, spent).otherwise(back)))
-
-
 def w_prime_balance(df: DataFrame, power: str = "pComputedPower", cyclist: Cyclist = Cyclist()) -> DataFrame:
-    """wPrimeBalance at every point: spent above critical power, won back below it."""
-    cp, full = float(cyclist.critical_power_w), float(cyclist.w_prime_j)
-    rows = F.array_sort(F.collect_list(F.struct("seq", F.col("time").alias("t"), F.col(power).alias("p"))))
-    tracks = by_track(df).agg(rows.alias("rows"))
-
-    def step(acc, x):
-        dt = (x["t"] - acc["t"]) / 1000
-        works = (dt > 0) & ~F.isnan(dt) & ~F.isnan(x["p"]) & (F.abs(x["p"]) != float("inf"))
-        b = F.when(works, w_prime_step(acc["b"], x["p"], dt, cp, full)).otherwise(acc["b"])
-        return F.struct(x["t"].alias("t"), b.alias("b"), F.array_append(acc["out"], F.struct(x["seq"].alias("seq"), b.alias("b"))).alias("out"))
-
-    zero = F.struct(F.lit(None).cast("double").alias("t"), F.lit(full).alias("b"), F.array().cast("array<struct<seq:bigint,b:double>>").alias("out"))
-    made = tracks.select("track_id", F.explode(F.aggregate("rows", zero, step, lambda s: s["out"])).alias("x")).select("track_id", F.col("x.seq").alias("seq"), F.col("x.b").alias("wPrimeBalance"))
-    return df.drop("wPrimeBalance").join(made, ["track_id", "seq"])
-
-
-def w_prime_long(df: DataFrame, power: str = "pComputedPower", cyclist: Cyclist = Cyclist()) -> DataFrame:
-    """The same, one call a track: for tracks too long for an array in a row."""
+    """wPrimeBalance at every point, spent above critical power, won back below it: one call a track, linear in
+    its points."""
     return add_columns(df, ["time", power], ["wPrimeBalance"], lambda t: {"wPrimeBalance": kernels.w_prime(t["time"], t[power], cyclist.critical_power_w, cyclist.w_prime_j)})
 
 

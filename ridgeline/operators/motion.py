@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import geo, kernels, physics
 from ridgeline.operators.windows import in_order
-from ridgeline.operators.tracks import by_track, map_tracks
-from ridgeline.options import G, Bike, Cyclist, PowerSpec, Wind
+from ridgeline.operators.tracks import add_columns, map_tracks
+from ridgeline.options import Bike, Cyclist, PowerSpec, Wind
 
 
 def forces(df: DataFrame, cyclist: Cyclist = Cyclist(), bike: Bike = Bike(), wind: Wind = Wind(), rho: str = "default") -> DataFrame:
@@ -53,35 +53,10 @@ def windowed_radius(df: DataFrame, k: int = 10) -> DataFrame:
     return d.withColumn("radius", window).drop("_turn")
 
 
-def braking_pass(df: DataFrame, cyclist: Cyclist = Cyclist(), halvings: int = 24) -> DataFrame:
-    """speedMax by a fold from each track's end backwards, in the JVM: what lets a rider brake to every later
-    limit while grip is shared with the turn. Reads radius, speedMaxIncline and distance; the last is 2 m/s."""
-    a, hold = cyclist.max_brake_g * G, G * cyclist.tan_lean
-    rows = F.reverse(F.array_sort(F.collect_list(F.struct("seq", "distance", "radius", F.col("speedMaxIncline").alias("corner")))))
-    tracks = by_track(df).agg(rows.alias("rows"))
-
-    def step(acc, x):
-        way, after, corner, r = acc["at"] - x["distance"], acc["v"], x["corner"], x["radius"]
-        straight = (r >= 200) | F.isnan(r) | (r <= 0)
-        free = F.least(corner, F.sqrt(after * after + 2 * a * way))
-
-        def slack(v):
-            used = geo.clamp(v * v / r / hold, 0, 1)
-            return after * after + 2 * a * F.sqrt(1 - used * used) * way - v * v
-
-        def halve(s, _):
-            mid = (s["lo"] + s["hi"]) / 2
-            ok = slack(mid) >= 0
-            return F.struct(F.when(ok, mid).otherwise(s["lo"]).alias("lo"), F.when(ok, s["hi"]).otherwise(mid).alias("hi"))
-
-        start = F.struct(F.least(after, corner).alias("lo"), corner.alias("hi"))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, halve, lambda s: s["lo"])
-        v = F.when(acc["first"], F.lit(2.0)).when(straight, free).when(slack(corner) >= 0, corner).otherwise(found)
-        return F.struct(F.lit(False).alias("first"), x["distance"].alias("at"), v.alias("v"), F.array_append(acc["out"], F.struct(x["seq"].alias("seq"), v.alias("v"))).alias("out"))
-
-    zero = F.struct(F.lit(True).alias("first"), F.lit(0.0).alias("at"), F.lit(0.0).alias("v"), F.array().cast("array<struct<seq:bigint,v:double>>").alias("out"))
-    limits = tracks.select("track_id", F.explode(F.aggregate("rows", zero, step, lambda s: s["out"])).alias("x")).select("track_id", F.col("x.seq").alias("seq"), F.col("x.v").alias("speedMax"))
-    return df.drop("speedMax").join(limits, ["track_id", "seq"])
+def braking_pass(df: DataFrame, cyclist: Cyclist = Cyclist()) -> DataFrame:
+    """speedMax from each track's end backwards, one call a track: what lets a rider brake to every later limit
+    while grip is shared with the turn. Reads radius, speedMaxIncline and distance; the last is 2 m/s."""
+    return add_columns(df, ["distance", "radius", "speedMaxIncline"], ["speedMax"], lambda t: {"speedMax": kernels.braking_limits(t["distance"], t["speedMaxIncline"], t["radius"], cyclist)})
 
 
 def max_speeds(df: DataFrame, cyclist: Cyclist = Cyclist()) -> DataFrame:

@@ -67,7 +67,8 @@ def segment_gap(df: DataFrame) -> DataFrame:
 
 def order_segments(df: DataFrame, least_gain: float = 200.0, most: int = 16) -> DataFrame:
     """track_id, place, seg_idx, reversed: the order of segments that leaves the shortest gaps, where that saves
-    more than `least_gain` metres. Only each segment's ends reach the grouped call."""
+    more than `least_gain` metres; the file's for tracks of more than `most` segments (at most 20). Only each
+    segment's ends reach the grouped call."""
     ends = df.groupBy("track_id", "seg_idx").agg(F.min_by(F.struct("latitude", "longitude"), "pt_idx").alias("a"), F.max_by(F.struct("latitude", "longitude"), "pt_idx").alias("b"))
     flat = ends.select("track_id", "seg_idx", "a.latitude", "a.longitude", F.col("b.latitude").alias("lat2"), F.col("b.longitude").alias("lon2"))
 
@@ -80,6 +81,17 @@ def order_segments(df: DataFrame, least_gain: float = 200.0, most: int = 16) ->
     return flat.groupBy("track_id").applyInPandas(run, f"track_id {df.schema['track_id'].dataType.simpleString()}, place int, seg_idx int, reversed boolean")
 
 
+def ordered_segments(df: DataFrame, least_gain: float = 200.0, most: int = 16) -> DataFrame:
+    """The points (track_id, seg_idx, pt_idx and any others) with their segments in that order: seg_idx is the
+    place, and the points of a reversed segment are numbered from its end."""
+    order = order_segments(df, least_gain, most)
+    last = F.max("pt_idx").over(Window.partitionBy("track_id", "seg_idx"))
+    first = F.min("pt_idx").over(Window.partitionBy("track_id", "seg_idx"))
+    turned = df.withColumn("_back", first + last - F.col("pt_idx")).join(order, ["track_id", "seg_idx"])
+    made = {"seg_idx": F.col("place"), "pt_idx": F.when(F.col("reversed"), F.col("_back")).otherwise(F.col("pt_idx"))}
+    return turned.select(*[made[c].cast(df.schema[c].dataType).alias(c) if c in made else F.col(c) for c in df.columns])
+
+
 def match(df: DataFrame, reference: DataFrame, back: float = 60.0, ahead: float = 300.0, most: float = 40.0) -> DataFrame:
     """track_id, seq, along: where each planar point (x, y) lies along its track's reference line."""
     key = df.schema["track_id"].dataType.simpleString()
@@ -93,7 +105,16 @@ def match(df: DataFrame, reference: DataFrame, back: float = 60.0, ahead: float
 
 
 def delta_decode(df: DataFrame, column: str, scale: float) -> DataFrame:
-    """An array of differences as running totals, scaled."""
-    start = F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<double>").alias("out"))
-    step = lambda a, x: F.struct((a["t"] + x).alias("t"), F.array_append(a["out"], (a["t"] + x) * scale).alias("out"))
-    return df.withColumn(column, F.aggregate(F.transform(column, lambda x: x.cast("long")), start, step, lambda a: a["out"]))
+    """An array of differences as running totals, scaled; null from a missing difference on."""
+
+    @F.pandas_udf("array<double>")
+    def totals(arrays: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return None
+            t = np.cumsum(np.array([np.nan if i is None else i for i in x], dtype=float)) * scale
+            return [None if np.isnan(i) else i for i in t.tolist()]
+
+        return arrays.map(one, na_action="ignore")
+
+    return df.withColumn(column, totals(F.transform(column, lambda x: x.cast("long"))))
