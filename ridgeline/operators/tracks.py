@@ -31,11 +31,11 @@ def by_track(df: DataFrame):
     return dealt(df).groupBy("track_id")
 
 
-def _ordered(table: pa.Table) -> pa.Table:
+def ordered(table: pa.Table) -> pa.Table:
     return table.take(pc.sort_indices(table, sort_keys=[("seq", "ascending")]))
 
 
-def _arrays(table: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
+def arrays(table: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
     return {n: pc.fill_null(table.column(n).cast(pa.float64()), np.nan).to_numpy().copy() for n in names}
 
 
@@ -44,7 +44,7 @@ def map_tracks(df: DataFrame, kernel: Callable) -> DataFrame:
     schema = to_arrow_schema(POINTS)
 
     def run(table: pa.Table) -> pa.Table:
-        t = kernel(_arrays(_ordered(table), FIELDS))
+        t = kernel(arrays(ordered(table), FIELDS))
         n = len(t["latitude"])
         return pa.table([pa.array([table.column("track_id")[0].as_py()] * n, pa.string()), pa.array(np.arange(n)), *(pa.array(t[f], pa.float64()) for f in FIELDS)], schema=schema)
 
@@ -58,8 +58,8 @@ def add_columns(df: DataFrame, reads: list[str], writes: list[str], kernel: Call
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(w, T.DoubleType()) for w in writes])
 
     def run(table: pa.Table) -> pa.Table:
-        table = _ordered(table)
-        made = kernel(_arrays(table, reads))
+        table = ordered(table)
+        made = kernel(arrays(table, reads))
         return pa.table([table.column(c) for c in rest] + [pa.array(made[w], pa.float64()) for w in writes], names=[*rest, *writes])
 
     return by_track(df).applyInArrow(run, schema)
@@ -71,7 +71,7 @@ def summarize(df: DataFrame, reads: list[str], fields: str, kernel: Callable) ->
     arrow, names = to_arrow_schema(schema), [f.name for f in schema.fields[1:]]
 
     def run(table: pa.Table) -> pa.Table:
-        rows = kernel(_arrays(_ordered(table), reads))
+        rows = kernel(arrays(ordered(table), reads))
         rows = rows if isinstance(rows, list) else [rows]
         key = table.column("track_id")[0].as_py()
         return pa.Table.from_pylist([{"track_id": key, **{n: r[n] for n in names}} for r in rows], schema=arrow)

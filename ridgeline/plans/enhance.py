@@ -16,7 +16,7 @@ from ridgeline.functions import sequence
 from ridgeline.operators import terrain
 from ridgeline.operators.derive import track_stats
 from ridgeline.operators.tracks import map_tracks
-from ridgeline.options import Bike, Cyclist, EnhanceOptions, PowerSpec, TunnelOptions, Wind
+from ridgeline.options import Bike, Cyclist, DeckOptions, EnhanceOptions, PowerSpec, TunnelOptions, Wind
 from ridgeline.schema import points
 
 DENSIFY_M, REFINE_MIN_M, REFINE_MAX_M = 30.0, 1.0, 2.0
@@ -40,9 +40,10 @@ def ride(t: k.Track, o: EnhanceOptions, c: Cyclist, bike: Bike, wind: Wind, spec
     t = k.derive(t)
     if not o.fix_elevation:
         t = k.per_distance(t, -1.0, DENSIFY_M)
-    t = k.per_distance(t, REFINE_MIN_M, REFINE_MAX_M)
-    if o.tunnels:
-        t = flat_tunnels(t, TunnelOptions())
+    if not o.on_terrain:
+        t = k.per_distance(t, REFINE_MIN_M, REFINE_MAX_M)
+        if o.tunnels:
+            t = flat_tunnels(t, TunnelOptions())
     if o.smooth and o.smooth_window_m > 0:
         t = k.smooth_elevation(t, o.smooth_window_m)
     if o.racing_line.enabled:
@@ -64,14 +65,21 @@ def ride(t: k.Track, o: EnhanceOptions, c: Cyclist, bike: Bike, wind: Wind, spec
     return t
 
 
-def enhance(df: DataFrame, options: EnhanceOptions = EnhanceOptions(), cyclist: Cyclist = Cyclist(), bike: Bike = Bike(), wind: Wind = Wind(), spec: PowerSpec = PowerSpec(), rho: str = "estimate", heights: DataFrame | None = None) -> DataFrame:
-    """Points in, points out. `heights` (see terrain.pixels) is needed to replace heights by the terrain's."""
+def enhance(df: DataFrame, options: EnhanceOptions = EnhanceOptions(), cyclist: Cyclist = Cyclist(), bike: Bike = Bike(), wind: Wind = Wind(), spec: PowerSpec = PowerSpec(), rho: str = "estimate", tiles: DataFrame | None = None) -> DataFrame:
+    """Points in, points out. `tiles` (see terrain.heights) are needed to replace heights by the terrain's; with
+    them bridge decks and tunnels are drawn from ground and surface models, after the points are refined.
+    Without, tunnels are found in the track's own heights, and decks can't be."""
     d = points(df)
     if options.fix_elevation:
-        if heights is None:
-            raise ValueError("fix_elevation needs a table of heights")
+        if tiles is None:
+            raise ValueError("fix_elevation needs a table of tiles")
         d = map_tracks(d, lambda t: k.per_distance(k.derive(t), -1.0, DENSIFY_M))
-        d = terrain.fix_elevation(d, heights)
+        d = terrain.fix_elevation(d, tiles)
+    elif options.bridge_decks:
+        raise ValueError("bridge_decks needs fix_elevation")
+    if options.on_terrain:
+        d = map_tracks(d, lambda t: k.per_distance(k.derive(t), REFINE_MIN_M, REFINE_MAX_M))
+        d = terrain.road_heights(d, tiles, deck=DeckOptions() if options.bridge_decks else None, tunnel=TunnelOptions() if options.tunnels else None)
     return map_tracks(d, lambda t: ride(t, options, cyclist, bike, wind, spec, rho))
 
 

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo
-from ridgeline.operators import resample, shape, terrain
-from ridgeline.options import Cyclist, GainOptions, RacingLineOptions
+from ridgeline.operators import energetics, motion, resample, road, shape, terrain
+from ridgeline.options import Cyclist, EnhanceOptions, GainOptions, RacingLineOptions
 from ridgeline.plans.enhance import enhance
 from ridgeline.schema import FIELDS, field_catalog, points
 from ridgeline.sources import fit, gpx, text
@@ -104,7 +104,7 @@ def test_terrain(spark):
     tile[..., 0], tile[..., 1] = 128, 100
     tiles = spark.createDataFrame([("mapterhorn", 12, x, y, "terrarium", bytearray(tile.tobytes())) for x in range(2116, 2118) for y in range(1470, 1474)], "layer string, z int, x int, y int, encoding string, data binary")
     pts = spark.createDataFrame([("a", 0, 45.2, 6.01), ("a", 1, 0.0, 0.0)], "track_id string, seq long, lat_deg double, lon_deg double")
-    got = {r.seq: (r.elevation, r.origin) for r in terrain.elevations(pts, terrain.pixels(tiles), {"mapterhorn": 12}).collect()}
+    got = {r.seq: (r.elevation, r.origin) for r in terrain.elevations(pts, tiles, {"mapterhorn": 12}).collect()}
     assert got == {0: (100.0, "MAPTERHORN"), 1: (0.0, "NONE")}
     assert terrain.failures(pts, tiles, 12, "mapterhorn").count() >= 1
     key = spark.range(1).select(terrain.tile_key(F.lit("https://x/a/12/7/9.webp?k=1")).alias("k")).first().k
@@ -113,13 +113,87 @@ def test_terrain(spark):
     assert tuple(n) == (7, 9, 246, 44)
 
 
+def tiles_of(spark, need, height, size=256):
+    """Tiles (layer, z, x, y) with the heights that `height` gives for a tile's x and y."""
+    rows = []
+    for r in need.select("layer", "z", "x", "y").distinct().collect():
+        h = height(r.x, r.y)
+        v = np.where(np.isnan(h), 0, np.floor(np.nan_to_num(h) * 256 + 0.5) + (32768 << 8)).astype(np.int64)
+        rgba = np.stack([v >> 16, v >> 8 & 255, v & 255, v * 0 + 255], axis=-1).astype(np.uint8)
+        rows.append((r.layer, r.z, r.x, r.y, "terrarium", bytearray(rgba.tobytes())))
+    return spark.createDataFrame(rows, "layer string, z int, x int, y int, encoding string, data binary")
+
+
+def test_lookup_against_pixels(spark, monkeypatch):
+    # Every pixel has its own height; one tile and some pixels are missing; points also lie on edges of the map.
+    zoom, size = 3, 8
+    last = (1 << zoom) - 1
+    rng = np.random.default_rng(5)
+    grid = np.floor(rng.uniform(-500, 4000, (size << zoom, size << zoom)) * 100 + 0.5) / 100
+    grid[rng.random(grid.shape) < 0.02] = np.nan
+    grid[size : 2 * size, 2 * size : 3 * size] = np.nan
+    every = spark.range(1 << 2 * zoom).selectExpr("'a' AS layer", f"{zoom} AS z", "CAST(id % 8 AS INT) AS x", "CAST(floor(id / 8) AS INT) AS y").where("x <> 2 OR y <> 1")
+    tiles = tiles_of(spark, every, lambda x, y: grid[y * size : y * size + size, x * size : x * size + size])
+    lon = np.concatenate([rng.uniform(-180, 180, 300), [-180, 180, 0, 0, 5, 5], np.full(200, 10.0)])
+    lat = np.concatenate([rng.uniform(-85, 85, 300), [0, 0, 85.051, -85.051, 89, -89], np.full(200, 12.0)])
+    points = spark.createDataFrame([("t", i, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))] + [("t", 900, None, 1.0)], "track_id string, seq long, lat_deg double, lon_deg double")
+    rad = np.radians(lat)
+    gx, gy = (lon + 180) / 360 * (size << zoom) - 0.5, (1 - np.log(np.tan(rad) + 1 / np.cos(rad)) / np.pi) / 2 * (size << zoom) - 0.5
+    i, j = np.floor(gx).astype(int), np.floor(gy).astype(int)
+    at = lambda x, y: grid[np.clip(y, 0, (size << zoom) - 1), np.clip(x, 0, (size << zoom) - 1)]
+    u, v = gx - i, gy - j
+    want = (1 - u) * (1 - v) * at(i, j) + u * (1 - v) * at(i + 1, j) + (1 - u) * v * at(i, j + 1) + u * v * at(i + 1, j + 1)
+    # The second run deals the points of shared tiles out over copies of them.
+    for group in (1 << 20, 50):
+        monkeypatch.setattr(terrain, "GROUP", group)
+        rows = terrain.lookup(points, tiles, zoom, "a", size).collect()
+        got = {r.seq: r.h for r in rows}
+        assert len(rows) == len(lat) + 1 and np.isnan(got[900]) and last == 7
+        assert np.array([got[n] for n in range(len(lat))]) == pytest.approx(want, abs=0.02, nan_ok=True)
+    assert terrain.failures(points, tiles, zoom, "a", size).collect() == [(zoom, 2, 1)]
+
+
+def test_road_heights(spark):
+    # Half a river valley crossed on a bridge, then a mountain that the road goes through.
+    n = 1200
+    line = spark.range(n).select(F.lit("a").alias("track_id"), F.col("id").alias("seq"), F.radians(F.lit(45.0)).alias("latitude"), F.radians(6.0 + F.col("id") * 2.5e-5).alias("longitude"), (F.col("id") * 1000.0).alias("time"), F.lit(100.0).alias("elevation"))
+    from ridgeline.operators.derive import derive
+
+    d = points(derive(points(line)))
+    east = lambda x: (x - (6.0 + 180) / 360 * (256 << 15)) / (256 << 15) * 360 * 78_600.0
+    column = lambda x: east(x * 256 + np.arange(256) + 0.5)
+    valley = lambda s: 100 - np.clip(np.minimum((s - 300) * 0.2, (600 - s) * 0.2), 0, 20)
+    hill = lambda s: np.clip(np.minimum((s - 1000) * 0.6, (1700 - s) * 0.6), 0, 120)
+    at = d.select("track_id", "seq", F.degrees("latitude").alias("lat_deg"), F.degrees("longitude").alias("lon_deg"))
+    rows = lambda h: np.repeat(h[None, :], 256, axis=0)
+    mnt = tiles_of(spark, terrain.reached(terrain.placed(at, {"ign_lidar_hd": 15}, 256, ()), 256), lambda x, y: rows(valley(column(x)) + hill(column(x))))
+    mns = tiles_of(spark, terrain.reached(terrain.placed(at, {"ign_lidar_hd_mns": 15}, 256, ()), 256), lambda x, y: rows(np.maximum(valley(column(x)), 100.0) + hill(column(x))))
+    tiles = mnt.unionByName(mns)
+    fixed = terrain.fix_elevation(d, tiles)
+    before = fixed.agg(F.min("elevation"), F.max("elevation")).first()
+    assert before[0] == pytest.approx(80, abs=0.5) and before[1] == pytest.approx(220, abs=3)
+    out = terrain.road_heights(fixed, tiles)
+    after = out.agg(F.min("elevation"), F.max("elevation"), F.count("*")).first()
+    # Pins lie where the ground is no more than a metre below.
+    assert 98.9 < after[0] < 100.5 and after[1] < 105 and after[2] == n
+    report = {r.kind: r for r in terrain.road_heights(fixed, tiles, report=True).collect()}
+    assert report["deck"].status == "DECK" and report["deck"].length == pytest.approx(300, abs=20)
+    assert report["tunnel"].status == "TUNNEL" and report["tunnel"].start == pytest.approx(1000, abs=20)
+    # Without a surface there are no decks, and tunnels need measured ground.
+    other = terrain.road_heights(fixed, mnt.withColumn("layer", F.lit("mapterhorn")), {"mapterhorn": 15}, report=True).collect()
+    assert [(r.kind, r.status) for r in other] == [("tunnel", "LEFT")]
+    drawn = enhance(fixed, EnhanceOptions(fix_elevation=True, bridge_decks=True, tunnels=True, smooth=False, virtualize=False, one_hz=False, w_prime=False, simplify=False), tiles=tiles)
+    assert drawn.agg(F.min("elevation"), F.max("elevation")).first() == pytest.approx((100, 102.5), abs=2.6)
+    with pytest.raises(ValueError):
+        enhance(fixed, EnhanceOptions(bridge_decks=True))
+
+
 def test_profile_and_decks(spark):
     line = spark.createDataFrame([("a", 0, 45.2, 6.01), ("a", 1, 45.2, 6.012)], "track_id string, seq long, lat_deg double, lon_deg double")
     d = terrain.along(line, 10.0)
     gaps = d.count() - 1
     assert 15 <= gaps <= 17
-    need = terrain.corners_of(d, 12).select("z", "x", "y", "px", "py").distinct()
-    flat = need.select(F.lit("mapterhorn").alias("layer"), "*", F.lit(7.5).alias("h"))
+    flat = tiles_of(spark, terrain.reached(terrain.placed(d, {"mapterhorn": 12}, 256, ()), 256), lambda x, y: np.full((256, 256), 7.5))
     p = terrain.profile(line, flat, {"mapterhorn": 12}, smooth_m=50.0, simplify_m=5.0).collect()
     assert [r.seq for r in p] == [0, gaps] and all(r.elevation == pytest.approx(7.5) for r in p)
     k = F.col("seq")
@@ -144,6 +218,22 @@ def test_resampling_agrees_with_the_kernels(spark, ride):
     assert a == b
 
 
+def test_long_tracks_take_linear_time(spark):
+    n = 100_000
+    d = spark.range(n).select(F.lit("a").alias("track_id"), F.col("id").alias("seq"), (F.col("id") * 5.0).alias("distance"), F.lit(30.0).alias("radius"), F.lit(14.0).alias("speedMaxIncline"), (F.col("id") * 1000.0).alias("time"), F.when(F.col("id") < 1000, 270.0).otherwise(250.0).alias("pComputedPower"))
+    v = motion.braking_pass(d).agg(F.min("speedMax"), F.max("speedMax"), F.count("*")).first()
+    assert v[0] == 2 and 13 < v[1] <= 14 and v[2] == n
+    assert energetics.w_prime_balance(d).where(f"seq = {n - 1}").first().wPrimeBalance == pytest.approx(20_000 - 999 * 20)
+
+
+def test_segments_in_order(spark):
+    rows = [("a", 0, i, 45.0, 6 + i * 0.01) for i in range(3)] + [("a", 1, i, 45.0, 6.05 - i * 0.01) for i in range(2)] + [("a", 2, i, 45.0, 6.06 + i * 0.01) for i in range(2)]
+    d = spark.createDataFrame(rows, "track_id string, seg_idx int, pt_idx int, lat double, lon double").withColumn("latitude", F.radians("lat")).withColumn("longitude", F.radians("lon"))
+    out = road.ordered_segments(d)
+    assert out.columns == d.columns
+    assert [round(r.lon, 2) for r in out.orderBy("seg_idx", "pt_idx").collect()] == [6.0, 6.01, 6.02, 6.04, 6.05, 6.06, 6.07]
+
+
 def test_options():
     for bad in (lambda: GainOptions.preset("x"), lambda: RacingLineOptions(corridor="x"), lambda: Cyclist(mass_kg=0)):
         with pytest.raises(ValueError):
