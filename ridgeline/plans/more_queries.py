@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ridgeline.operators import derive as D
 from ridgeline.operators import motion, resample, road, shape, terrain
 from ridgeline.plans import enhance as E
+from ridgeline.plans import track_sql as S
 from ridgeline.plans.queries import derived, register
 from ridgeline.plans.trace import DERIVED, POINTS, TRACE, haversine_sql, m, milli, trace, trace_points
 from ridgeline.schema import points
@@ -37,7 +42,7 @@ def triangular_smooth(spark, sf_dir):
     return shape.smooth_samples(d, 60.0).select("track_id", "seq", m("smoothed", 100).alias("elevation"))
 
 
-@register("kernel_smooth")
+@register("kernel_smooth", S.SMOOTH)
 def kernel_smooth(spark, sf_dir):
     d = derived(spark, sf_dir).select("track_id", "seq", "distance", "elevation")
     return shape.smooth_profile(d, 150.0).select("track_id", "seq", m("smoothed", 100).alias("elevation"))
@@ -81,7 +86,7 @@ def centred_slope(spark, sf_dir):
     return shape.centred_slope(trace(spark, sf_dir), "elevation", 2, 5.0).select("track_id", "seq", m("slope").alias("slope"))
 
 
-@register("douglas_peucker")
+@register("douglas_peucker", S.SIMPLIFY)
 def douglas_peucker(spark, sf_dir):
     d = derived(spark, sf_dir)
     kept = shape.simplify_indices(d, 100.0).withColumn("track_id", F.col("track_id").cast("long"))
@@ -129,7 +134,7 @@ def enhance_pipeline(spark, sf_dir):
     return D.track_stats(d).select("track_id", "n_points", m("distance", 10).alias("distance"), m("duration_ms", 1).alias("duration_ms"))
 
 
-@register("per_distance")
+@register("per_distance", S.PER_DISTANCE)
 def per_distance(spark, sf_dir):
     d = resample.per_distance(complete(spark, sf_dir), 15.0, 30.0)
     return d.groupBy("track_id").agg(F.count("*").alias("n"), m(F.max("distance")).alias("distance"))
@@ -190,10 +195,22 @@ ZOOM = 12
 
 
 def _plane(spark, sf_dir):
-    """Heights that rise evenly over the map, for the pixels that the trace needs."""
-    p = trace(spark, sf_dir)
-    need = terrain.corners_of(p.select("track_id", "seq", "lat_deg", "lon_deg"), ZOOM).select("z", "x", "y", "px", "py").distinct()
-    return need.select(F.lit("mapterhorn").alias("layer"), "z", "x", "y", "px", "py", ((F.col("x") * 256.0 + F.col("px")) * 0.01 + (F.col("y") * 256.0 + F.col("py")) * 0.02).alias("h"))
+    """Tiles whose heights rise evenly over the map, for the trace's points."""
+    p = trace(spark, sf_dir).select("lat_deg", "lon_deg")
+    need = terrain.reached(terrain.placed(p, {"mapterhorn": ZOOM}, 256, ()), 256).select("layer", "z", "x", "y")
+
+    def run(batches):
+        i = np.arange(256)
+        for b in batches:
+            for r in b.to_pylist():
+                hundredths = (r["x"] * 256 + i)[None, :] + (r["y"] * 256 + i)[:, None] * 2
+                v = np.floor(hundredths * 2.56 + 0.5).astype(np.int64) + (32768 << 8)
+                rgba = np.stack([v >> 16, v >> 8 & 255, v & 255, np.full_like(v, 255)], axis=-1).astype(np.uint8)
+                yield pa.RecordBatch.from_pylist([r | {"encoding": "terrarium", "data": rgba.tobytes()}], schema)
+
+    made = T._parse_datatype_string("layer string, z int, x int, y int, encoding string, data binary")
+    schema = to_arrow_schema(made)
+    return need.mapInArrow(run, made)
 
 
 @register("bilinear_dem", f"WITH {TRACE} SELECT track_id, seq, {milli('((lon_deg + 180e0) / 360e0 * 4096e0 * 256e0 - 0.5e0) * 0.01e0 + ((1e0 - ln(tan(radians(lat_deg)) + 1e0 / cos(radians(lat_deg))) / pi()) / 2e0 * 4096e0 * 256e0 - 0.5e0) * 0.02e0', 10)} AS h FROM tr")
@@ -209,7 +226,13 @@ def provenance_pivot(spark, sf_dir):
     return p.select("track_id", m("IGN_LIDAR_HD").alias("ign"), m("MAPTERHORN").alias("mapterhorn"), m("NONE").alias("none"))
 
 
-@register("bridge_decks")
+DECKS = f"""WITH {TRACE}, st AS (SELECT track_id, seq, elevation % 3e0 + 80e0 AS mnt FROM tr WHERE seq >= 20 AND seq < 45),
+ n AS (SELECT track_id, count(*) AS n FROM tr GROUP BY track_id),
+ sp AS (SELECT track_id, min(seq) AS first, max(seq) AS last, max(100e0 - mnt) AS canyon, min(mnt) AS low, max_by(mnt, seq) AS bank FROM st GROUP BY track_id HAVING count(*) >= 3)
+ SELECT CAST(track_id AS VARCHAR) AS track_id, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, CASE WHEN (CASE WHEN n > last + 1 THEN 100e0 ELSE bank END) - low > 3e0 THEN 'DECK' ELSE 'NO_CANYON' END AS status, {milli('canyon')} AS canyon FROM sp JOIN n USING (track_id)"""
+
+
+@register("bridge_decks", DECKS)
 def bridge_decks(spark, sf_dir):
     k = F.col("seq")
     canyon = F.when((k >= 20) & (k < 45), F.col("elevation") % 3 + 80).otherwise(100.0)
@@ -240,12 +263,12 @@ def gpx_round_trip(spark, sf_dir):
     return back.groupBy(F.split("track_id", "#")[0].alias("track_id")).agg(F.count("*").alias("n"), m(F.sum("elevation")).alias("elevation"))
 
 
-@register("csv_text")
+@register("csv_text", S.csv_text(["speed", "elevation", "distance"]))
 def csv_text(spark, sf_dir):
     return text.to_csv(complete(spark, sf_dir), ["speed", "elevation", "distance"], decimals=2).select("track_id", F.sha2("text", 256).alias("digest"))
 
 
-@register("json_text")
+@register("json_text", S.json_text(["elevation", "distance"]))
 def json_text(spark, sf_dir):
     return text.to_json(complete(spark, sf_dir), ["elevation", "distance"], decimals=2).select("track_id", F.sha2("text", 256).alias("digest"))
 

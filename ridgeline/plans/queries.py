@@ -9,6 +9,7 @@ from ridgeline.functions import geo, physics
 from ridgeline.operators import derive as D
 from ridgeline.operators import energetics, motion, resample
 from ridgeline.options import Wind
+from ridgeline.plans import track_sql as S
 from ridgeline.plans.trace import DERIVED, POINTS, TRACE, m, milli, trace, trace_points
 
 QUERIES: dict = {}
@@ -181,7 +182,21 @@ def braking_free(spark, sf_dir):
     return motion.braking_pass(d.select("track_id", "seq", "distance", "radius", "speedMaxIncline")).select("track_id", "seq", m("speedMax", 100).alias("v"))
 
 
-@register("braking_pass")
+#: A point's limit takes one step, or one step for each of 24 halvings: `it` counts them, 99 is a point's result.
+SLACK = "(after * after + 2e0 * a * sqrt(1e0 - pow(least(1e0, greatest(0e0, {v} * {v} / radius / hold)), 2)) * way - {v} * {v})"
+BRAKING = f"""WITH RECURSIVE {RADIUS}, x AS MATERIALIZED (SELECT track_id, seq, distance, corner, radius, row_number() OVER (PARTITION BY track_id ORDER BY seq DESC) AS k FROM cor),
+f AS (SELECT track_id, seq, k, 99 AS it, distance, 0e0 AS way, 0e0 AS after, 0e0 AS lo, 0e0 AS hi, 2e0 AS v FROM x WHERE k = 1
+UNION ALL SELECT track_id, seq, k, CASE WHEN fresh AND (straight OR whole) THEN 99 WHEN fresh THEN 0 WHEN it = 23 THEN 99 ELSE it + 1 END, distance, way, after,
+ CASE WHEN fresh THEN least(after, corner) WHEN ok THEN mid ELSE lo END, CASE WHEN fresh THEN corner WHEN ok THEN hi ELSE mid END,
+ CASE WHEN fresh AND straight THEN least(corner, sqrt(after * after + 2e0 * a * way)) WHEN fresh THEN corner WHEN ok THEN mid ELSE lo END
+ FROM (SELECT *, radius >= 200e0 AS straight, {SLACK.format(v="corner")} >= 0 AS whole, {SLACK.format(v="mid")} >= 0 AS ok
+  FROM (SELECT x.track_id, x.seq, x.k, f.it, f.it = 99 AS fresh, x.distance, x.radius, x.corner, 0.4e0 * {G_} AS a, {G_} * tan(radians(35e0)) AS hold, f.lo, f.hi, (f.lo + f.hi) / 2e0 AS mid,
+   CASE WHEN f.it = 99 THEN f.distance - x.distance ELSE f.way END AS way, CASE WHEN f.it = 99 THEN f.v ELSE f.after END AS after
+   FROM f JOIN x ON x.track_id = f.track_id AND x.k = f.k + CASE WHEN f.it = 99 THEN 1 ELSE 0 END)))
+SELECT track_id, seq, {milli('v', 100)} AS v FROM f WHERE it = 99"""
+
+
+@register("braking_pass", BRAKING)
 def braking_pass(spark, sf_dir):
     d = motion.windowed_radius(derived(spark, sf_dir)).withColumn("speedMaxIncline", physics.cornering_limit(F.col("radius")))
     return motion.braking_pass(d.select("track_id", "seq", "distance", "radius", "speedMaxIncline")).select("track_id", "seq", m("speedMax", 100).alias("v"))
@@ -221,12 +236,12 @@ def hysteresis_gain(spark, sf_dir):
     return g.select("track_id", m("gain", 100).alias("gain"), m("loss", 100).alias("loss"), "legs")
 
 
-@register("gain_presets")
+@register("gain_presets", S.PRESETS)
 def gain_presets(spark, sf_dir):
     return energetics.gain_sweep(derived(spark, sf_dir)).select("track_id", "preset", m("gain").alias("gain"), m("loss").alias("loss"), "legs")
 
 
-@register("gain_grid_pivot")
+@register("gain_grid_pivot", S.GRID)
 def gain_grid_pivot(spark, sf_dir):
     g = energetics.gain_grid(derived(spark, sf_dir))
     return g.select("track_id", "window_m", *[m(F.col(f"`{c}`")).alias(f"t{c}") for c in g.columns[2:]])
