@@ -419,19 +419,25 @@ def step_length(p: float, m: float, v: float, dt: float) -> float:
 
 
 def step_time(p: float, m: float, v: float, dx: float) -> float:
-    """The first time at which a constant power has carried dx: bracketed by tenths of a second, then halved."""
+    """The first time at which a constant power has carried dx: bracketed by tenths of a second, then halved.
+    The halvings take most of a ride's time, so step_length is written out in them."""
     dt = 0.1
     while step_length(p, m, v, dt) <= dx:
         dt += 0.1
     low, high, tol = dt - 0.1, dt, max(dx / 1e7, 1e-12)
+    sqrt, vv = math.sqrt, v * v
     while high - low >= tol:
         mid = (low + high) / 2
-        if step_length(p, m, v, mid) < dx:
+        after = vv + 2 * mid * p / m
+        after = sqrt(after) if after > 0 else 0.0
+        if (v + (after if after > MIN_SPEED else MIN_SPEED)) * mid / 2 < dx:
+            if mid == low:
+                break
             low = mid
         else:
+            if mid == high:
+                break
             high = mid
-        if mid in (low, high) and (low + high) / 2 in (low, high):
-            break
     return (low + high) / 2
 
 

@@ -32,11 +32,20 @@ def by_track(df: DataFrame):
 
 
 def ordered(table: pa.Table) -> pa.Table:
+    seq = table.column("seq").to_numpy()
+    if (seq[1:] >= seq[:-1]).all():
+        return table
     return table.take(pc.sort_indices(table, sort_keys=[("seq", "ascending")]))
 
 
 def arrays(table: pa.Table, names: list[str]) -> dict[str, np.ndarray]:
-    return {n: pc.fill_null(table.column(n).cast(pa.float64()), np.nan).to_numpy().copy() for n in names}
+    """The columns as numbers, NaN for null."""
+    out = {}
+    for n in names:
+        c = table.column(n)
+        c = c if pa.types.is_float64(c.type) else c.cast(pa.float64())
+        out[n] = (pc.fill_null(c, np.nan) if c.null_count else c).to_numpy().copy()
+    return out
 
 
 def map_tracks(df: DataFrame, kernel: Callable) -> DataFrame:
