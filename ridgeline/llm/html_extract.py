@@ -264,14 +264,17 @@ def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[int]]]:
         return text.replace(" ", f"{style[0]} ") if style[0] else text
 
     def page() -> tuple[str, list[int]]:
-        out, states = [], [0]
+        out, states, plain = [], [0], rng.choice([0, 0, 0.2, 0.6])
         # Some pages' words carry symbols, so that their sentences show no stops.
         style[0] = rng.choice(["###", " |", "***", "-"]) if rng.random() < 0.2 else ""
 
         def node(tag: str, state: int, inside, *words: str) -> None:
             """An element; inside is text or a function that adds more. Words are its class."""
             key = rng.choice(["class", "class", "id"])
-            attr = f' {key}="{" ".join(words)}"' if words else ""
+            # Names that say nothing stand on anything, alone or beside those that do.
+            if rng.random() < plain:
+                words = (*words, *(word() for _ in range(rng.randint(1, 2))))
+            attr = f' {key}="{rng.choice(" -").join(words)}"' if words else ""
             out.append(f"<{tag}{attr}>")
             states.append(state)
             if callable(inside):
@@ -349,6 +352,8 @@ def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[int]]]:
         def side():
             if rng.random() < 0.4:
                 node("aside", 0, lambda: (node("h3", 0, phrase(1, 3)), links()() if rng.random() < 0.5 else node("p", 0, sentences(2))))
+            if rng.random() < 0.2:
+                node("div", 0, lambda: (node(rng.choice(["h2", "h3", "h4"]), 0, phrase(1, 3)), links()()), word())
             if rng.random() < 0.4:
                 chrome("sidebar", "widget", "side", "related", "recommended", "complementary", "tags", "subscription")
 
@@ -371,9 +376,16 @@ def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[int]]]:
             elif kind < 0.85:
                 node(rng.choice(["div", "div", "section"]), 1, story, rng.choice(POSITIVE))
             else:
-                node("div", 1, story)
+                node("div", 1, lambda: node(rng.choice(["div", "section"]), 1, story) if rng.random() < 0.5 else story())
+
+        def table():
+            """Menu and text side by side, as pages were laid out once."""
+            menu = lambda: out.append("<br>".join(f'<a href="/{word()}">{phrase(1, 3)}</a>' for _ in range(rng.randint(3, 8))))
+            node("table", 0, lambda: (node("tr", 0, lambda: node("td", 0, phrase(1, 4))) if rng.random() < 0.7 else None, node("tr", 0, lambda: (node("td", 0, menu), node("td", 1, story))), node("tr", 0, lambda: node("td", 0, phrase(3, 9) + ".")) if rng.random() < 0.7 else None))
 
         def body():
+            if rng.random() < 0.1:
+                return table()
             top()
             if rng.random() < 0.3:
                 node("div", 0, lambda: (centre(), side()), rng.choice(["wrapper", "page", "container", "layout"]))

@@ -1,7 +1,9 @@
 """Each operator against a plain version, with nulls, empty and long texts, ties, repeated rows, empty tables
 and further columns whose names clash with the operator's own."""
 
+import html
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import html_extract, language_id, near_dup, neighbours, packing, pii, quality, scoring, vocab
 from tests.llm import brute
+from tests.llm.foreign_pages import PAGES
 
 RNG = random.Random(5)
 SYLLABLES = {"en": "the ing er th on an ed re".split(), "fr": "eau oi ai le la ou é è".split(), "de": "sch ung ein er ü ß ge be".split()}
@@ -326,6 +329,20 @@ def test_labelled_pages_held_out():
     assert wrong / total < 0.01
 
 
+def test_foreign_layouts():
+    """Word precision and recall on pages labelled by hand, in layouts that training doesn't know."""
+    model, both, found, wanted = html_extract.fitted(), 0, 0, 0
+    for name, source in PAGES.items():
+        marked = " ".join(re.findall(r"\[\[(.*?)\]\]", source, re.S))
+        want = Counter(html.unescape(re.sub(r"<[^>]*>", "", marked)).split())
+        got = Counter(html_extract.main_text(source.replace("[[", "").replace("]]", ""), model).split())
+        common = sum((want & got).values())
+        assert common >= 0.95 * want.total() and common >= 0.85 * got.total(), name
+        both, found, wanted = both + common, found + got.total(), wanted + want.total()
+    print(f"precision {both / found:.3f}, recall {both / wanted:.3f}")
+    assert both >= 0.95 * found and both >= 0.99 * wanted
+
+
 def test_marginals_by_enumeration():
     from itertools import product
     from math import exp
