@@ -35,6 +35,8 @@ from ridgeline.llm import vocab
 from ridgeline.llm.common import Recent, materialize, slices, struct, table
 
 CHUNKS, WORDS = 60_000, 220_000
+#: Words that the library encodes at once.
+JOINED = 200
 #: Bytes of text cut into words at a time.
 SLICE = 2 << 20
 CAPACITY = 2048
@@ -59,6 +61,7 @@ class IdBytes:
         self.library.no_truncation()
         self.library.no_padding()
         self.chunks, self.words = Recent(None, CHUNKS), Recent(None, WORDS)
+        self.ending = self.vocabulary.ending()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = self.words
@@ -86,16 +89,23 @@ class IdBytes:
         return [words[w] if alone else join(cut[c]) for c, w, alone in zip(chunks, lowered, plain, strict=True)]
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        flat, n = [], [len(e) for e in found]
-        for e in found:
-            flat += e.ids
-        raw, out, at = np.array(flat, dtype="<u4").tobytes(), [], 0
-        for k in n:
-            out.append(raw[at : at + 4 * k])
-            at += 4 * k
+        """Ids of each word. The library encodes `JOINED` words at a time, with blanks between them, which no
+        step sees across; a word's ids end with the one that carries the mark of a word's end."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out = []
+        for group, e in zip(groups, self._ids([b" ".join(g) for g in groups]), strict=True):
+            ids = np.array(e, dtype="<u4")
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                out += [np.array(x, dtype="<u4").tobytes() for x in self._ids(group)]
+                continue
+            raw, cuts = ids.tobytes(), (4 * ends).tolist()
+            out += [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
         return out
 
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
 
 @cache
 def id_bytes(path: str) -> IdBytes:

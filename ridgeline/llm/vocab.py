@@ -74,6 +74,14 @@ class Vocabulary:
             self.merges[ids[a] << 16 | ids[b]] = (rank, ids[a + b])
         self.splits = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
 
+    def ending(self) -> np.ndarray:
+        """For each id whether it ends a word: a byte at a word's end, or what a merge made with such a one."""
+        out = np.zeros(self.size, dtype=bool)
+        out[self.final] = True
+        for pair, (_, both) in self.merges.items():
+            out[both] |= out[pair & 0xFFFF]
+        return out
+
     def tokens(self, text: bytes) -> list[bytes] | None:
         """A whole text's pre-tokens at once, or None if it has characters or special tokens that need more."""
         if self.marked.search(text):
