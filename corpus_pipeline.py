@@ -28,31 +28,51 @@ from ridgeline.llm.common import held_out, materialize, table
 ROW = "__row"
 #: Ids of rows without one, in the near-duplicate stage: above all others, so that these rows give way.
 NO_ID = 1 << 62
+#: Bytes in an Arrow batch of a session that has no limit of its own: all stages share the executors' memory, which
+#: keeps what the largest batches took.
+BATCH_BYTES = 2 << 20
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Results run when the caller likes, so the limit of a batch's bytes stays in the session's settings."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """Each row with all its columns packed in one, beside those that a stage reads."""
+    """Each row with its columns but the text packed in one, beside the text and what else a stage reads: whole
+    texts go to Python and back once."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    return docs.select("doc_id", "text", lang, F.struct(*docs.columns).alias(ROW))
+    return docs.select("doc_id", "text", lang, F.struct(*[c for c in docs.columns if c != "text"]).alias(ROW))
+
+
+def _rows(whole: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows with the columns of `docs`."""
+    text = F.col("text").cast(docs.schema["text"].dataType) if "text" in docs.columns else None
+    return whole.select(*[(text if c == "text" else F.col(ROW).getField(c)).alias(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their stratum's cutoffs reject go."""
-    measured = materialize(quality.measure(_whole(docs), keep=("lang", ROW)), "stage-quality")
-    cutoffs = quality.thresholds(measured.drop(ROW), table(spark, sf_dir, "labels"))
-    return quality.judge(measured, cutoffs).where("kept").select(f"{ROW}.*")
+    _bounded(spark)
+    measured = materialize(quality.measure(_whole(docs), keep=("lang", ROW), keep_text=True), "stage-quality")
+    cutoffs = quality.thresholds(measured.drop(ROW, "text"), table(spark, sf_dir, "labels"))
+    return _rows(quality.judge(measured, cutoffs).where("kept"), docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those whose codeword is as near to another language's, go."""
+    _bounded(spark)
     whole = _whole(docs)
     model = language_id.fit(whole.drop(ROW).where(~held_out(F.col("doc_id"), 5, 0)))
-    found = language_id.predict(whole, model, keep=(ROW,))
-    return found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(f"{ROW}.*")
+    found = language_id.predict(whole, model, keep=(ROW,), keep_text=True)
+    return _rows(found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")), docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: that of the smallest id."""
+    _bounded(spark)
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID)))
     whole = docs.select(number.alias("__id"), F.col("text").alias("__text"), F.struct(*docs.columns).alias(ROW))
     kept = near_dup.group(whole, "__id", "__text").where("kept").select(F.col("doc_id").alias("__id")).distinct()
@@ -75,6 +95,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
+    _bounded(spark)
     return packing.pack(docs)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 from itertools import filterfalse
 
 import pyarrow as pa
@@ -152,6 +154,30 @@ class Recent(dict):
             self.update(zip(missing, make_all(missing), strict=True))
 
 
+#: Functions whose values a Python worker keeps from task to task.
+_KEPT: list = []
+
+
+def kept(make):
+    """`functools.cache`, until `let_go`."""
+    found = cache(make)
+    _KEPT.append(found)
+    return found
+
+
+def let_go() -> None:
+    """Gives back what this Python worker keeps for an operator that it served before: workers outlive the stages
+    of a pipeline, and what one stage keeps would stand beside the next one's memory."""
+    if not any(f.cache_info().currsize for f in _KEPT):
+        return
+    for f in _KEPT:
+        f.cache_clear()
+    pa.default_memory_pool().release_unused()
+    # Only glibc holds freed memory back in this way, and has this function.
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def held_out(doc_id: F.Column, parts: int, part: int) -> F.Column:
     """Whether crc32 of the id as text leaves `part` when divided by `parts`."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts) == F.lit(part), F.lit(False))

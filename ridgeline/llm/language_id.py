@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import held_out, materialize, slices, struct, table
+from ridgeline.llm.common import held_out, let_go, materialize, slices, struct, table
 
 #: Hashed features of a text, and how many texts are turned into features at once.
 WIDTH, ROWS = 2048, 512
@@ -160,6 +160,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     chosen = part < F.floor(1_000_000 * F.least(F.lit(1.0), 1.5 * per_language / F.col("count"))) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in slices(batches, 2):
             for at in range(0, b.num_rows, ROWS):
                 s = b.slice(at, ROWS)
@@ -179,11 +180,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     return train(x, np.array([number[r["label"]] for r in kept]), labels)
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", least_gap: float = 0.1, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The rows' id and the columns `keep` with lang_pred, score (the winner's share, 0 to 1) and ambiguous: the winner's score
+def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", least_gap: float = 0.1, keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """The rows' id and the columns `keep`, with keep_text the text as a string, with lang_pred, score (the winner's share, 0 to 1) and ambiguous: the winner's score
     is less than `least_gap` above the runner-up's."""
+    text = [text_col] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in slices(batches):
             for at in range(0, b.num_rows, ROWS):
                 s = b.slice(at, ROWS)
@@ -195,10 +198,10 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                     for i, k in zip(some, best.tolist(), strict=True):
                         lang[i] = model.labels[k]
                     score[some], doubt[some] = top, top - second < least_gap
-                yield pa.RecordBatch.from_arrays([s.column(0), *(s.column(i + 2) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score), pa.array(doubt)], [id_col, *keep, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([s.column(0), *(s.column(i + 2) for i in range(len(keep))), *(s.column(1) for _ in text), pa.array(lang, pa.string()), pa.array(score), pa.array(doubt)], [id_col, *keep, *text, "lang_pred", "score", "ambiguous"])
 
     source = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), *keep)
-    rest = struct(("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()))
+    rest = struct(*((c, T.StringType()) for c in text), ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()))
     return source.mapInArrow(run, T.StructType([source.schema[0], *(source.schema[k] for k in keep), *rest.fields]))
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import Recent, discard, materialize, slices, struct, table
+from ridgeline.llm.common import Recent, discard, let_go, materialize, slices, struct, table
 
 BANDS, BAND_ROWS = 42, 5
 SLOTS = BANDS * BAND_ROWS
@@ -143,6 +143,7 @@ def sketch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_shingles, digest (equal for equal sets, null for empty ones) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         shingles = Shingler()
         for b in slices(batches):
             sets = [shingles(t) for t in _lower(b.column(1))]
@@ -159,6 +160,7 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id and its full set, as an array of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         shingles = Shingler()
         for b in slices(batches):
             sets = [shingles(t).view(np.int64) for t in _lower(b.column(1))]

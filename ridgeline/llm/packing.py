@@ -21,7 +21,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from itertools import compress
 from operator import not_
 
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm import vocab
-from ridgeline.llm.common import Recent, materialize, slices, struct, table
+from ridgeline.llm.common import Recent, kept, materialize, slices, struct, table
 
 CHUNKS, WORDS = 60_000, 220_000
 #: Words that the library encodes at once.
@@ -107,7 +106,7 @@ class IdBytes:
         return [e.ids for e in self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
 
-@cache
+@kept
 def id_bytes(path: str) -> IdBytes:
     return IdBytes(path)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import materialize, slices, struct, table
+from ridgeline.llm.common import let_go, materialize, slices, struct, table
 
 SPACES, SYMBOLS = "\t\n\v\f\r ", "#*$%&|<>"
 LETTER = regex.compile(r"\p{L}")
@@ -91,17 +91,19 @@ def measure_text(text: str) -> tuple[int, ...]:
     return (len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), letters)
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns `keep`, and the MEASURES of every whole text."""
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """id_col, the columns `keep`, with keep_text the text as a string, and the MEASURES of every whole text."""
+    text = [text_col] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in slices(batches):
             rows = [measure_text(t or "") for t in b.column(1).to_pylist()]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(i + 2) for i in range(len(keep))), *columns], [id_col, *keep, *MEASURES])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(i + 2) for i in range(len(keep))), *(b.column(1) for _ in text), *columns], [id_col, *keep, *text, *MEASURES])
 
     source = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), *keep)
-    fields = [source.schema[0], *(source.schema[k] for k in keep), *struct(*((m, T.LongType()) for m in MEASURES)).fields]
+    fields = [source.schema[0], *(source.schema[k] for k in keep), *struct(*((c, T.StringType()) for c in text), *((m, T.LongType()) for m in MEASURES)).fields]
     return source.mapInArrow(run, T.StructType(fields))
 
 

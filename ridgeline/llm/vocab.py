@@ -12,11 +12,12 @@ import json
 import os
 import re
 import unicodedata
-from functools import cache
 
 import numpy as np
 import regex
 
+from ridgeline.llm.common import kept
+
 #: The default vocabulary file, a name for public_tokenizers.path().
 WORD_BPE = "word_bpe_49k.json"
 #: White space as the file's own patterns see it (Unicode's property White_Space).
@@ -132,6 +133,6 @@ def plain(text: str) -> list[bytes]:
     return [p.encode("utf-8", "surrogatepass") for p in PIECES.findall(text)]
 
 
-@cache
+@kept
 def load(path: str) -> Vocabulary:
     return Vocabulary(path)
