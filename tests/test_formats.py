@@ -96,6 +96,43 @@ def test_fit(ride):
     assert [s["index"] for s in snapped] == [0, 1]
 
 
+def fit_messages(data):
+    """(message, {field: bytes}) in the file's order."""
+    at, known, out = 14, {}, []
+    while at < len(data) - 2:
+        head = data[at]
+        if head & 0x40:
+            (message,), n = struct.unpack_from("<H", data, at + 3), data[at + 5]
+            known[head & 15] = message, [tuple(data[at + 6 + 3 * k : at + 8 + 3 * k]) for k in range(n)]
+            at += 6 + 3 * n
+            continue
+        message, fields = known[head]
+        at += 1
+        out.append((message, {}))
+        for number, size in fields:
+            out[-1][1][number] = data[at : at + size]
+            at += size
+    return out
+
+
+def test_fit_numbers_beyond_their_fields():
+    n, day = 4, 86_400_000.0
+    seg = {c: np.zeros(n) for c in ("lat", "lon", "ele", "distance")} | {"time": np.arange(n) * 20 * day, "gain": 70_000.0, "loss": -65_534.0}
+    seg |= {"speed": np.array([65.534, 65.535, 5e6, np.inf]), "power": np.array([65_534, 65_535, -1, np.nan]), "hr": np.array([254, 255, 300, -1.0]), "temp": np.array([126, 127, -128, -129.0])}
+    sent = fit_messages(fit.encode("x", [seg], 1_700_000_000_000))
+    number = lambda fields, k: int.from_bytes(fields[k], "little")
+    (lap,) = [f for m, f in sent if m == fit.LAP]
+    assert [number(lap, k) for k in (7, 8, 21, 22)] == [0xFFFFFFFF, 0xFFFFFFFF, 0xFFFF, 65_534]
+    assert number(lap, 253) - number(lap, 2) == 60 * 86_400
+    records = [f for m, f in sent if m == fit.RECORD]
+    assert [(k, number(f, k)) for f in records for k in (6, 73) if k in f] == [(6, 65_534), (73, 65_535), (73, 0xFFFFFFFF), (6, 0xFFFF)]
+    assert [number(f, 7) for f in records] == [65_534, 0xFFFF, 0xFFFF, 0xFFFF]
+    assert [f[3][0] for f in records] == [254, 255, 255, 255]
+    assert [f[13][0] for f in records] == [126, 0x7F, 0x80, 0x7F]
+    with pytest.raises(struct.error):
+        fit.encode("x", [seg], 0)
+
+
 def test_terrain(spark):
     assert np.isnan(terrain.terrarium_array(np.zeros((1, 1, 4)))[0, 0])
     h = terrain.bil32(np.array([[1.25, -9999.0]], dtype="<f4").tobytes(), 2)
